@@ -55,12 +55,25 @@ def to_sparse(c: Column | str) -> Column:
 
 
 def to_dense(c: Column | str, size: int) -> Column:
-    """Array of (idx, value) -> dense vector of ``size`` entries, 0 where absent."""
-    lookup = F.map_from_entries(_col(c))
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(size - 1)),
-        lambda i: F.coalesce(F.try_element_at(lookup, i), F.lit(0.0)),
-    )
+    """Array of (idx, value) -> dense vector of ``size`` entries, 0 where absent.
+
+    The entries are sorted once and the gaps between them filled with zeros.
+    """
+    nothing = F.lit(-1)
+
+    def zeros(n: Column) -> Column:
+        return F.array_repeat(F.lit(0.0), n.cast("int"))
+
+    def fill(entries: Column) -> Column:
+        def with_gap(entry: Column, i: Column) -> Column:
+            before = F.when(i == 0, nothing).otherwise(F.get(entries, i - 1)["idx"])
+            return F.concat(zeros(entry["idx"] - before - 1), F.array(entry["value"]))
+
+        last = F.coalesce(F.get(entries, F.size(entries) - 1)["idx"], nothing)
+        return F.concat(F.flatten(F.transform(entries, with_gap)), zeros(F.lit(size - 1) - last))
+
+    # a one-element transform binds the sorted array, so it is not sorted again per entry
+    return F.get(F.transform(F.array(F.sort_array(_col(c))), fill), F.lit(0))
 
 
 def round_scale(c: Column | str, scale: int) -> Column:

@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqbin.functions.dna import MAX_PACKED_K, kmers_of, representative, revcomp
+from seqbin.functions.dna import MAX_PACKED_K, kmers_of
+from seqbin.functions.vocabulary import word_table
 
 #: neighbour code of a token that is not linked on that side
 UNLINKED = 4
@@ -157,8 +158,7 @@ def kmer_profile(keyed_runs: DataFrame, k: int = 4) -> DataFrame:
     counts twice; ``forward`` counts it once.
     """
     words = keyed_runs.select("key", F.explode(kmers_of("run", k)).alias("word"))
-    counted = words.groupBy("key", representative("word").alias("kmer")).agg(
-        F.count("*").alias("forward")
-    )
-    twice = F.when(F.col("kmer") == revcomp("kmer"), 2).otherwise(1)
-    return counted.select("key", "kmer", (F.col("forward") * twice).alias("weight"), "forward")
+    table = F.broadcast(word_table(keyed_runs.sparkSession, k))
+    counted = words.join(table, "word").groupBy("key", "kmer", "twice").agg(F.count("*").alias("forward"))
+    weight = F.col("forward") * F.when(F.col("twice"), 2).otherwise(1)
+    return counted.select("key", "kmer", weight.alias("weight"), "forward")

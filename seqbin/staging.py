@@ -15,6 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dir: str | None = None
+_written: list[str] = []
 
 
 def stage_root(spark: SparkSession) -> str:
@@ -36,7 +37,18 @@ def stage_root(spark: SparkSession) -> str:
 
 def stage_path(spark: SparkSession, name: str) -> str:
     """A new, unused path for a stage table or output."""
-    return f"{stage_root(spark)}/seqbin/{name}-{uuid.uuid4().hex}"
+    path = f"{stage_root(spark)}/seqbin/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+def drop_stages(spark: SparkSession) -> None:
+    """Delete the stage tables this process wrote; tables read from them end here too."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while _written:
+        path = hadoop(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
