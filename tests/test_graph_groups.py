@@ -20,6 +20,7 @@ from seqbin.operators.groups import (
     seed_groups,
     seed_groups_rounds,
 )
+from seqbin.staging import stage
 
 
 def edge_table(spark, pairs):
@@ -78,10 +79,10 @@ def test_group_invariants(spark, seed, share):
     pairs = brute.random_pairs(seed, share=share)
     around = brute.neighbor_sets(pairs)
     edges = edge_table(spark, pairs)
-    comps = attach_components(all_reads(spark, 30), connected_components(edges))
+    comps = stage(attach_components(all_reads(spark, 30), connected_components(edges)), "comps")
     component_of = as_map(comps)
     nodes = component_nodes(comps, neighbors(edges, max_list=3))
-    for cap in (1, 3):
+    for cap in (1, 3) if seed == 1 else (3,):
         grown = seed_groups(nodes.repartition(5), cap).collect()
         brute.check_groups(grown, component_of, around, None)
         strict = seed_groups(nodes, cap, strict_seed_cap=True).collect()
@@ -100,8 +101,9 @@ def test_group_invariants(spark, seed, share):
     brute.check_groups(from_hubs, component_of, around, 3)
     routed = group_reads(edges, comps, neighbors, 3, max_local_component=5).collect()
     brute.check_groups(routed, component_of, around, None)
-    again = seed_groups_rounds(edges.repartition(13), comps.repartition(7), 3).collect()
-    assert sorted(again) == sorted(rounds)
+    if seed == 2:
+        again = seed_groups_rounds(edges.repartition(13), comps.repartition(7), 3).collect()
+        assert sorted(again) == sorted(rounds)
 
 
 def test_clique_and_chain(spark):
