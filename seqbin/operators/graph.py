@@ -33,7 +33,7 @@ def neighbors(edges: DataFrame, max_list: int = 100_000) -> DataFrame:
     A list longer than ``max_list`` continues in further rows of the same read,
     so a hub is never gathered into one array.
     """
-    pairs = both_directions(edges).filter(F.col("read_id") != F.col("nbr")).distinct()
+    pairs = both_directions(edges).filter(F.col("read_id") != F.col("nbr"))
     hubs = (
         pairs.groupBy("read_id")
         .agg(F.count("*").alias("n"))
@@ -44,7 +44,7 @@ def neighbors(edges: DataFrame, max_list: int = 100_000) -> DataFrame:
     return (
         pairs.join(hubs, "read_id", "left")
         .groupBy("read_id", F.pmod(F.xxhash64("nbr"), parts).alias("part"))
-        .agg(F.sort_array(F.collect_list("nbr")).alias("nbrs"))
+        .agg(F.sort_array(F.collect_set("nbr")).alias("nbrs"))
         .select("read_id", "nbrs")
     )
 

@@ -18,23 +18,28 @@ UNLINKED = 4
 _CHUNK_BASES = 4_000_000
 
 
-def read_kmers(reads: DataFrame, k: int) -> DataFrame:
+def read_kmers(reads: DataFrame, k: int, carry: str | None = None) -> DataFrame:
     """``(read_id, kmer)``: the set of k-mers of each read, over all its mates.
 
     Duplicates are removed inside the row, before the rows are multiplied.
-    Only reads held in several rows need a distinct across rows.
+    Only reads held in several rows need a distinct across rows. ``carry`` names
+    a bigint column of ``reads`` to keep beside each k-mer.
     """
     words = F.array_distinct(
         F.flatten(F.transform(F.flatten("mates"), lambda run: kmers_of(run, k)))
     )
+    columns = ["read_id", F.explode(words).alias("kmer"), *_carried(carry)]
     if "parts" not in reads.columns:
-        return reads.select("read_id", F.explode(words).alias("kmer"))
-    one = reads.filter("parts = 1").select("read_id", F.explode(words).alias("kmer"))
-    several = reads.filter("parts > 1").select("read_id", F.explode(words).alias("kmer"))
-    return one.unionByName(several.distinct())
+        return reads.select(*columns)
+    one = reads.filter("parts = 1").select(*columns)
+    return one.unionByName(reads.filter("parts > 1").select(*columns).distinct())
 
 
-def kmer_tokens(reads: DataFrame, k: int) -> DataFrame:
+def _carried(carry: str | None) -> list[Column]:
+    return [] if carry is None else [F.col(carry).cast("bigint").alias(carry)]
+
+
+def kmer_tokens(reads: DataFrame, k: int, carry: str | None = None) -> DataFrame:
     """``(read_id, kmer, link)``: :func:`read_kmers` with packed keys and run links.
 
     ``kmer`` is the two-bit bigint code, so k is at most 31. ``link`` holds the
@@ -44,19 +49,21 @@ def kmer_tokens(reads: DataFrame, k: int) -> DataFrame:
     """
     if not 1 <= k <= MAX_PACKED_K:
         raise ValueError(f"packed k-mers need 1 <= k <= {MAX_PACKED_K}")
-    runs = F.filter(F.flatten("mates"), lambda run: F.length(run) >= k)
-    split = F.col("parts") > 1 if "parts" in reads.columns else F.lit(False)
-    rows = reads.select("read_id", runs.alias("runs"), split.alias("split")).filter(F.size("runs") > 0)
+    runs = F.filter(F.flatten("mates"), lambda run: F.length(run) >= k).alias("runs")
     schema = "read_id bigint, kmer bigint, link bigint"
-    one = rows.filter(~F.col("split")).select("read_id", "runs")
-    tokens = one.mapInArrow(lambda batches: _pack_batches(batches, k), schema)
+    if carry is not None:
+        schema += f", {carry} bigint"
+
+    def packed(rows: DataFrame) -> DataFrame:
+        kept = rows.select("read_id", runs, *_carried(carry)).filter(F.size("runs") > 0)
+        return kept.mapInArrow(lambda batches: _pack_batches(batches, k, carry), schema)
+
     if "parts" not in reads.columns:
-        return tokens
-    several = rows.filter("split").select("read_id", "runs")
-    unlinked = several.mapInArrow(lambda batches: _pack_batches(batches, k), schema).select(
-        "read_id", "kmer", F.lit(UNLINKED * 9).cast("bigint").alias("link")
-    )
-    return tokens.unionByName(unlinked.distinct())
+        return packed(reads)
+    # the rank of a k-mer is not known across the rows of a split read
+    unlinked = F.lit(UNLINKED * 9).cast("bigint")
+    several = packed(reads.filter("parts > 1")).withColumn("link", unlinked).distinct()
+    return packed(reads.filter("parts = 1")).unionByName(several)
 
 
 def link_rank(link: Column) -> Column:
@@ -74,9 +81,12 @@ def link_next(link: Column) -> Column:
     return link.bitwiseAND(F.lit(7))
 
 
-def _pack_batches(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+def _pack_batches(
+    batches: Iterator[pa.RecordBatch], k: int, carry: str | None
+) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
+        carried = None if carry is None else batch.column(2).to_numpy(zero_copy_only=False)
         runs = batch.column(1)
         row_at = np.asarray(runs.offsets)
         text = runs.values
@@ -90,12 +100,19 @@ def _pack_batches(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.Reco
             last = int(np.searchsorted(row_chars, row_chars[first] + _CHUNK_BASES, side="right")) - 1
             last = min(max(last, first + 1), len(ids))
             spans = char_at[row_at[first] : row_at[last] + 1].astype(np.int64)
-            read = np.repeat(ids[first:last], np.diff(row_at[first : last + 1]))
-            yield _pack_chunk(chars[spans[0] : spans[-1]], spans - spans[0], read, k)
+            row = np.repeat(np.arange(first, last), np.diff(row_at[first : last + 1]))
+            row, key, link = _pack_chunk(chars[spans[0] : spans[-1]], spans - spans[0], row, k)
+            columns = {"read_id": ids[row], "kmer": key, "link": link}
+            if carry is not None:
+                columns[carry] = carried[row]
+            yield pa.RecordBatch.from_pydict({name: pa.array(x, pa.int64()) for name, x in columns.items()})
             first = last
 
 
-def _pack_chunk(chars: np.ndarray, run_at: np.ndarray, run_read: np.ndarray, k: int) -> pa.RecordBatch:
+def _pack_chunk(
+    chars: np.ndarray, run_at: np.ndarray, run_read: np.ndarray, k: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Read, key and link of every distinct k-mer; run i is chars[run_at[i]:run_at[i + 1]]."""
     # fixed values: two-bit codes of the bases A, C, G, T
     code = np.zeros(256, np.int64)
     code[np.frombuffer(b"ACGT", np.uint8)] = (0, 1, 2, 3)
@@ -124,11 +141,7 @@ def _pack_chunk(chars: np.ndarray, run_at: np.ndarray, run_read: np.ndarray, k:
     joined[1:-1] = (run_of[1:] == run_of[:-1]) & (at[1:] == at[:-1] + 1)
     prev = np.where(joined[:-1], base[at - 1], UNLINKED)
     after = np.where(joined[1:], base[np.minimum(at + k, len(base) - 1)], UNLINKED)
-    link = (rank << 6) | (prev << 3) | after
-    return pa.RecordBatch.from_arrays(
-        [pa.array(read, pa.int64()), pa.array(key, pa.int64()), pa.array(link, pa.int64())],
-        names=["read_id", "kmer", "link"],
-    )
+    return read, key, (rank << 6) | (prev << 3) | after
 
 
 def kmer_index(read_kmers: DataFrame, min_reads: int = 2, max_list: int = 4096) -> DataFrame:

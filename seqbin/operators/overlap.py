@@ -89,16 +89,19 @@ def overlap_of_reads(
     ``within`` is a column of ``reads`` on which both reads must agree.
     """
 
-    def tokens(rows: DataFrame) -> DataFrame:
-        return kmer_tokens(rows, k) if k <= MAX_PACKED_K else read_kmers(rows, k)
-
     if within is not None:
-        groups = reads.select("read_id", within).distinct()
-        none_hot = stage(tokens(reads.limit(0)).select("kmer", F.lit(0).alias("n_est")), "hot-kmers")
-        return overlap_edges(tokens(reads).join(groups, "read_id"), m, hot=none_hot, within=within)
+        # the caller vouches that each group is small, so no k-mer is hot inside it
+        tokens = any_tokens(reads, k, carry=within)
+        none_hot = stage(any_tokens(reads.limit(0), k).select("kmer", F.lit(0).alias("n_est")), "hot-kmers")
+        return overlap_edges(tokens, m, hot=none_hot, within=within)
     step = sample_step(hot_limit)
-    hot = hot_kmers(tokens(sample_rows(reads, step)), hot_limit, step)
-    return overlap_edges(tokens(reads), m, hot=hot)
+    hot = hot_kmers(any_tokens(sample_rows(reads, step), k), hot_limit, step)
+    return overlap_edges(any_tokens(reads, k), m, hot=hot)
+
+
+def any_tokens(reads: DataFrame, k: int, carry: str | None = None) -> DataFrame:
+    """Packed tokens where ``k`` allows it, text k-mers beyond."""
+    return kmer_tokens(reads, k, carry) if k <= MAX_PACKED_K else read_kmers(reads, k, carry)
 
 
 def _shared(

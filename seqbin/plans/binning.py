@@ -7,7 +7,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqbin.functions.dna import MAX_PACKED_K
 from seqbin.operators.clusters import cluster_groups, label_groups, label_reads
 from seqbin.operators.cover import covered_components, small_component_edges, verified_stars
 from seqbin.operators.graph import (
@@ -17,9 +16,8 @@ from seqbin.operators.graph import (
     neighbors,
 )
 from seqbin.operators.groups import discard_small, group_reads, rounds_from_hubs, seed_groups
-from seqbin.operators.kmers import kmer_tokens, read_kmers
 from seqbin.operators.metrics import binning_metrics
-from seqbin.operators.overlap import hot_kmers, overlap_edges
+from seqbin.operators.overlap import any_tokens, hot_kmers, overlap_edges
 from seqbin.operators.records import merge_mates, parse_records, with_read_index
 from seqbin.operators.results import results
 from seqbin.operators.skew import sample_rows, sample_step
@@ -59,7 +57,8 @@ class Binning:
 
 def index_records(records: DataFrame) -> DataFrame:
     """Records -> indexed reads, as a stage table."""
-    return stage(with_read_index(merge_mates(parse_records(records))), "reads")
+    merged = stage(merge_mates(parse_records(records)), "merged")  # parse the text once
+    return stage(with_read_index(merged), "reads")
 
 
 def find_groups(reads: DataFrame, params: BinningParams, work_dir: str | None = None) -> DataFrame:
@@ -73,13 +72,10 @@ def find_groups(reads: DataFrame, params: BinningParams, work_dir: str | None =
     k, m = params.kmer_size, params.threshold
     step = sample_step(params.hot_kmer_reads)
 
-    def tokens(rows: DataFrame) -> DataFrame:
-        return kmer_tokens(rows, k) if k <= MAX_PACKED_K else read_kmers(rows, k)
-
-    hot = hot_kmers(tokens(sample_rows(reads, step)), params.hot_kmer_reads, step)
+    hot = hot_kmers(any_tokens(sample_rows(reads, step), k), params.hot_kmer_reads, step)
     ids = reads.select("read_id").distinct()
     if hot.isEmpty():
-        edges = stage(overlap_edges(tokens(reads), m, hot=hot), "edges")
+        edges = stage(overlap_edges(any_tokens(reads, k), m, hot=hot), "edges")
         if work_dir is not None:
             write_edges(edges, f"{work_dir}/edges", params.fmt)
             edges = read_edges(reads.sparkSession, f"{work_dir}/edges", params.fmt)
