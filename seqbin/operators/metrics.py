@@ -32,24 +32,27 @@ def binning_metrics(
     labels: DataFrame, discard: bool = True, convention: str = "label_max"
 ) -> DataFrame:
     """One row ``(precision, recall, f_measure)``; null where nothing was assigned."""
-    counts = confusion_long(labels)
     counted = (F.col("predict") != UNASSIGNED) if discard else F.lit(True)
-    used = counts.filter(counted)
-    parts = [
-        _tagged(used.groupBy("label").agg(F.max("n").alias("best")), label_sum=F.col("best")),
-        _tagged(used.groupBy("predict").agg(F.max("n").alias("best")), cluster_sum=F.col("best")),
-        _tagged(counts, total=F.col("n"), used=F.when(counted, F.col("n"))),
-    ]
-    sums = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    row = sums.agg(*[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in _SUMS])
-    return row.select(*_scores(convention))
-
-
-_SUMS = ("label_sum", "cluster_sum", "total", "used")
+    # each count is seen from both of its sides, so the labels are read once
+    sides = F.array(
+        F.struct(F.lit("label").alias("side"), F.col("label").alias("key")),
+        F.struct(F.lit("cluster").alias("side"), F.col("predict").cast("string").alias("key")),
+    )
+    counts = confusion_long(labels).select("n", F.when(counted, F.col("n")).alias("used"), F.inline(sides))
+    best = counts.groupBy("side", "key").agg(
+        F.max("used").alias("best"), F.sum("n").alias("total"), F.sum("used").alias("used")
+    )
 
+    def summed(side: str, column: str) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("side") == side, F.col(column))), F.lit(0))
 
-def _tagged(rows: DataFrame, **values: Column) -> DataFrame:
-    return rows.select(*[values.get(name, F.lit(0)).cast("bigint").alias(name) for name in _SUMS])
+    row = best.agg(
+        summed("label", "best").alias("label_sum"),
+        summed("cluster", "best").alias("cluster_sum"),
+        summed("label", "total").alias("total"),
+        summed("label", "used").alias("used"),
+    )
+    return row.select(*_scores(convention))
 
 
 def metrics_from_matrix(
