@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from seqbin.llm import minhash
+from seqbin.llm import bpe, decontaminate, grammar, lines, minhash, secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -26,3 +27,36 @@ def _query(name: str, sql: str | None = None):
 @_query("op1_hyperminhash")
 def _near_duplicates(spark, sf_dir):
     return minhash.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), size=4, percent=80)
+
+
+@_query("op2_rank_queue_bpe")
+def _encode(spark, sf_dir):
+    return bpe.encode_digests(
+        spark.read.parquet(f"{sf_dir}/documents.parquet"),
+        public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
+        public_tokenizers.PATTERN,
+    )
+
+
+@_query("op4_linked_secrets")
+def _secrets(spark, sf_dir):
+    return secrets.find_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+@_query("op5_decontaminate", decontaminate.ORACLE)
+def _decontaminate(spark, sf_dir):
+    return decontaminate.contamination(
+        spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    )
+
+
+@_query("op9_toxicity")
+def _toxicity(spark, sf_dir):
+    return grammar.toxicity(
+        spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    )
+
+
+@_query("op10_line_spread", lines.ORACLE)
+def _line_spread(spark, sf_dir):
+    return lines.line_report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
