@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from seqbin.llm import bpe, decontaminate, grammar, lines, minhash, secrets
+from seqbin.llm import bpe, decontaminate, grammar, lines, minhash, secrets, tokenfile, topk, warc
+from seqbin.staging import stage_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -38,6 +39,13 @@ def _encode(spark, sf_dir):
     )
 
 
+@_query("op3_addressable_tokens")
+def _token_files(spark, sf_dir):
+    return tokenfile.encode_to_files(
+        spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json")
+    )
+
+
 @_query("op4_linked_secrets")
 def _secrets(spark, sf_dir):
     return secrets.find_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
@@ -50,6 +58,18 @@ def _decontaminate(spark, sf_dir):
     )
 
 
+@_query("op6_bit_sliced_top_k", topk.ORACLE)
+def _top_k(spark, sf_dir):
+    return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=5, every=50)
+
+
+@_query("op8_content_archive", warc.ORACLE)
+def _archive(spark, sf_dir):
+    path = stage_path(spark, "archive")
+    warc.write_archive(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
+    return warc.archive_report(spark, path)
+
+
 @_query("op9_toxicity")
 def _toxicity(spark, sf_dir):
     return grammar.toxicity(
