@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding with a bitmap queue over merge ranks.
 
 Within a pre-token the byte pieces form a linked list. Every pair that can merge
-is filed under its rank; a hierarchical bitmap (64-bit words, one summary bit per
+is filed under its rank; a hierarchical bitmap (256-bit words, one summary bit per
 word on each level) tells by find-first-set which rank comes next. A bucket holds
 list positions in order; entries whose pair has changed since are stale and
 skipped. One merge costs a constant number of bitmap steps, so a pre-token of n
@@ -21,38 +21,43 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: pre-tokens a task remembers; the memory is emptied when it is full
-REMEMBER = 400_000
+#: pre-tokens a Python worker remembers (about 250 bytes each); emptied when full
+REMEMBER = 1_000_000
 #: longer pre-tokens are encoded anew each time
 REMEMBER_BYTES = 64
+#: bits of a bitmap word: two levels hold 65,536 ranks
+WORD_LOG = 8
+WORD = 1 << WORD_LOG
+WORD_MASK = WORD - 1
+_BIT = [1 << i for i in range(WORD)]
 
 
 class RankBitmap:
-    """A set of ranks below ``size`` with find-first-set over levels of 64-bit words."""
+    """A set of ranks below ``size`` with find-first-set over levels of WORD-bit words."""
 
     __slots__ = ("levels",)
 
     def __init__(self, size: int):
         self.levels: list[list[int]] = []
         while True:
-            size = (size + 63) >> 6
-            self.levels.append([0] * size)
-            if size == 1:
+            size = (size + WORD - 1) >> WORD_LOG
+            self.levels.append([0] * max(size, 1))
+            if size <= 1:
                 break
 
     def add(self, rank: int) -> None:
         for level in self.levels:
-            word, bit = rank >> 6, 1 << (rank & 63)
+            word = rank >> WORD_LOG
             old = level[word]
-            level[word] = old | bit
+            level[word] = old | _BIT[rank & WORD_MASK]
             if old:
                 return
             rank = word
 
     def discard(self, rank: int) -> None:
         for level in self.levels:
-            word = rank >> 6
-            level[word] &= ~(1 << (rank & 63))
+            word = rank >> WORD_LOG
+            level[word] &= ~_BIT[rank & WORD_MASK]
             if level[word]:
                 return
             rank = word
@@ -64,7 +69,7 @@ class RankBitmap:
         at = 0
         for level in reversed(self.levels):
             word = level[at]
-            at = (at << 6) | ((word & -word).bit_length() - 1)
+            at = (at << WORD_LOG) | ((word & -word).bit_length() - 1)
         return at
 
 
@@ -89,15 +94,15 @@ class BytePairs:
         if whole is not None:
             return (whole,)
         n = len(piece)
-        end = list(range(1, n + 1))  # end[i]: where the part that begins at i ends; 0 once merged away
-        before = list(range(-1, n - 1))
-        pair = [-1] * n  # rank of part i with the next one
+        get = ranks.get
+        end = list(range(1, n + 2))  # end[i]: where the part that begins at i ends; 0 once merged away
+        before = list(range(-1, n))
+        pair = [get(piece[i : i + 2], -1) for i in range(n)]  # rank of part i with the next one
+        pair[n - 1] = -1
         buckets: dict[int, list[int]] = {}
         queue = self.queue
-        for i in range(n - 1):
-            rank = ranks.get(piece[i : i + 2])
-            if rank is not None:
-                pair[i] = rank
+        for i, rank in enumerate(pair):
+            if rank >= 0:
                 if rank in buckets:
                     buckets[rank].append(i)
                 else:
@@ -106,40 +111,46 @@ class BytePairs:
         # positions were filed in ascending order, so every bucket is a heap already
         while (rank := queue.first()) >= 0:
             bucket = buckets[rank]
-            while bucket:
+            lower = False
+            while bucket and not lower:
                 i = heappop(bucket)
-                if end[i] == 0 or pair[i] != rank:
+                if pair[i] != rank:
                     continue  # stale
                 j = end[i]
-                k = end[j]
-                end[i], end[j] = k, 0
+                k = end[i] = end[j]
+                pair[j] = -1
+                left = before[i]
                 if k < n:
                     before[k] = i
-                for left in (i, before[i]):
-                    if left < 0:
-                        continue
-                    middle = end[left]
-                    found = ranks.get(piece[left : end[middle]]) if middle < n else None
-                    if found is None:
-                        pair[left] = -1
-                        continue
+                    found = get(piece[i : end[k]], -1)
+                    pair[i] = found
+                    if found >= 0:
+                        lower = found < rank
+                        if found in buckets:
+                            heappush(buckets[found], i)
+                        else:
+                            buckets[found] = [i]
+                            queue.add(found)
+                else:
+                    pair[i] = -1
+                if left >= 0:
+                    found = get(piece[left:k], -1)
                     pair[left] = found
-                    if found == rank:
-                        heappush(bucket, left)
-                    elif found in buckets:
-                        heappush(buckets[found], left)
-                    else:
-                        buckets[found] = [left]
-                        queue.add(found)
-                if queue.first() < rank:
-                    break
+                    if found >= 0:
+                        lower = lower or found < rank
+                        if found in buckets:
+                            heappush(buckets[found], left)
+                        else:
+                            buckets[found] = [left]
+                            queue.add(found)
             if not bucket:
                 del buckets[rank]
                 queue.discard(rank)
         out, i = [], 0
         while i < n:
-            out.append(ranks[piece[i : end[i]]])
-            i = end[i]
+            k = end[i]
+            out.append(ranks[piece[i:k]])
+            i = k
         return tuple(out)
 
     def decode(self, ids) -> bytes:
@@ -170,6 +181,17 @@ class TextEncoder:
         return list(chain.from_iterable(known[p] if p in known else long[p] for p in pieces))
 
 
+_encoders: dict[tuple[str, str], TextEncoder] = {}
+
+
+def _encoder(ranks_path: str, pattern: str) -> TextEncoder:
+    """One encoder per Python worker: it serves the tasks that follow too."""
+    key = (ranks_path, pattern)
+    if key not in _encoders:
+        _encoders[key] = TextEncoder(BytePairs.from_file(ranks_path), pattern)
+    return _encoders[key]
+
+
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """``(doc_id, ids, decoded)`` per row: ids of the text and the bytes they decode to.
 
@@ -178,7 +200,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFram
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = TextEncoder(BytePairs.from_file(ranks_path), pattern)
+        encoder = _encoder(ranks_path, pattern)
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 some = batch.slice(at, 64)
@@ -201,7 +223,7 @@ def encode_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = TextEncoder(BytePairs.from_file(ranks_path), pattern)
+        encoder = _encoder(ranks_path, pattern)
         sha, decimal = hashlib.sha256, {i: b"%d" % i for i in encoder.pairs.bytes_of}
         for batch in batches:
             counts, of_ids, of_bytes = [], [], []
