@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from seqbin.llm import bpe, decontaminate, grammar, lines, minhash, secrets, tokenfile, topk, warc
+from seqbin.llm import bpe, decontaminate, grammar, hmm, lines, minhash, secrets, tokenfile, topk, warc
 from seqbin.staging import stage_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +63,11 @@ def _top_k(spark, sf_dir):
     return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=5, every=50)
 
 
+@_query("op7_hidden_markov")
+def _language_model(spark, sf_dir):
+    return hmm.language_model_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 @_query("op8_content_archive", warc.ORACLE)
 def _archive(spark, sf_dir):
     path = stage_path(spark, "archive")
