@@ -16,6 +16,7 @@ from collections.abc import Iterator
 from heapq import heappop, heappush
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -164,6 +165,7 @@ class TextEncoder:
         self.pairs, self.remember = pairs, remember
         self.split = regex.compile(pattern).findall
         self.known: dict[str, tuple[int, ...]] = {}
+        self.decimal = {i: b"%d" % i for i in pairs.bytes_of}
 
     def encode(self, text: str | None) -> list[int]:
         pieces = self.split(text or "")
@@ -193,25 +195,11 @@ def _encoder(ranks_path: str, pattern: str) -> TextEncoder:
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """``(doc_id, ids, decoded)`` per row: ids of the text and the bytes they decode to.
+    """``(doc_id, n_tokens, ids, ids_sha256, decoded_sha256)`` per row of ``(doc_id, text)``.
 
-    A null or empty text has no ids. ``ranks_path`` must be readable on all
-    executors (it comes with the tokenizer package).
+    Like :func:`encode_digests`, with the ids themselves.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(ranks_path, pattern)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                some = batch.slice(at, 64)
-                ids = [encoder.encode(t.as_py()) for t in some.column(1)]
-                decoded = [encoder.pairs.decode(i) for i in ids]
-                yield pa.record_batch(
-                    [some.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.binary())],
-                    names=["doc_id", "ids", "decoded"],
-                )
-
-    return _id_text(docs).mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
+    return _encoded(docs, ranks_path, pattern, keep_ids=True)
 
 
 def encode_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -219,28 +207,34 @@ def encode_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
     Digests are lowercase hex: of the decimal ids joined by commas, and of the
     decoded bytes. A null or empty text has no ids (digests of nothing). Rows that
-    repeat a doc_id, and null ids, are encoded like any other.
+    repeat a doc_id, and null ids, are encoded like any other. ``ranks_path`` must be
+    readable on all executors (it comes with the tokenizer package).
     """
+    return _encoded(docs, ranks_path, pattern, keep_ids=False)
+
+
+def _encoded(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: bool) -> DataFrame:
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * keep_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(ranks_path, pattern)
-        sha, decimal = hashlib.sha256, {i: b"%d" % i for i in encoder.pairs.bytes_of}
+        sha, decimal = hashlib.sha256, encoder.decimal
         for batch in batches:
-            counts, of_ids, of_bytes = [], [], []
-            for text in batch.column(1):
-                ids = encoder.encode(text.as_py())
-                counts.append(len(ids))
-                of_ids.append(sha(b",".join(map(decimal.__getitem__, ids))).hexdigest())
-                of_bytes.append(sha(encoder.pairs.decode(ids)).hexdigest())
-            yield pa.record_batch(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(of_ids), pa.array(of_bytes)],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    return _id_text(docs).mapInArrow(
-        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    )
-
-
-def _id_text(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+            for at in range(0, batch.num_rows, 256):
+                some = batch.slice(at, 256)
+                counts, of_ids, of_bytes, kept = [], [], [], []
+                for text in some.column(1):
+                    ids = encoder.encode(text.as_py())
+                    counts.append(len(ids))
+                    of_ids.append(sha(b",".join(map(decimal.__getitem__, ids))).hexdigest())
+                    of_bytes.append(sha(encoder.pairs.decode(ids)).hexdigest())
+                    if keep_ids:
+                        kept.append(np.array(ids, np.int32))
+                columns = [some.column(0), pa.array(counts, pa.int64()), pa.array(of_ids), pa.array(of_bytes)]
+                if keep_ids:
+                    columns.append(pa.array(kept, pa.list_(pa.int32())))
+                yield pa.record_batch(columns, names=names)
+
+    ids = F.col("doc_id").cast("long").alias("doc_id")
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
+    return docs.select(ids, F.col("text").cast("string").alias("text")).mapInArrow(run, schema)

@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seqbin.llm.columns import fresh
 from seqbin.staging import stage
 
 WINDOW = 10
@@ -138,8 +139,9 @@ def document_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` without the documents that hold an item window; all columns stay."""
-    bad = document_hits(docs, benchmark, window).select(F.col("doc_id").alias("hit_doc"))
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("hit_doc")), "left_anti")
+    (key,) = fresh(docs, "hit_doc")
+    bad = document_hits(docs, benchmark, window).select(F.col("doc_id").alias(key))
+    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col(key)), "left_anti")
 
 
 ORACLE = r"""

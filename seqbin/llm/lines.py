@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seqbin.llm.columns import fresh
 from seqbin.staging import stage
 
 #: lines with fewer words are never removed
@@ -111,12 +112,13 @@ def removed_positions(docs: DataFrame) -> DataFrame:
     )
 
 
-def _cleaned(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``gone`` (null where nothing goes) and ``clean``."""
-    gone = removed_positions(docs).withColumnRenamed("doc_id", "line_doc")
-    kept = F.filter(_lines(F.col("text")), lambda _, i: ~F.array_contains("gone", i))
-    clean = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("line_doc")), "left").withColumn("clean", clean)
+def _cleaned(docs: DataFrame) -> tuple[DataFrame, Column, Column]:
+    """``docs`` joined with what goes, the removed positions (null: none) and the text left."""
+    key, gone = fresh(docs, "line_doc", "gone")
+    removed = removed_positions(docs).toDF(key, gone)
+    kept = F.filter(_lines(F.col("text")), lambda _, i: ~F.array_contains(gone, i))
+    clean = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    return docs.join(removed, F.col("doc_id").cast("long").eqNullSafe(F.col(key)), "left"), F.col(gone), clean
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -126,20 +128,18 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     earlier documents. One that had no text before stays as it is, as do null texts.
     A column ``n_chars`` follows the new text. Rows that repeat a doc_id are treated alike.
     """
-    columns = docs.columns
-    done = _cleaned(docs.withColumn("text", F.col("text").cast("string")))
-    emptied = F.col("gone").isNotNull() & (F.length(F.translate("clean", " \t\r\n\x0b\x0c", "")) == 0)
-    done = done.filter(~emptied)
+    done, gone, clean = _cleaned(docs.withColumn("text", F.col("text").cast("string")))
+    emptied = gone.isNotNull() & (F.length(F.translate(clean, " \t\r\n\x0b\x0c", "")) == 0)
 
     def column(name: str) -> Column:
         if name == "text":
-            return F.col("clean").alias("text")
+            return clean.alias("text")
         if name == "n_chars":
-            same = F.when(F.col("gone").isNull(), F.col("n_chars")).otherwise(F.length("clean"))
+            same = F.when(gone.isNull(), F.col("n_chars")).otherwise(F.length(clean))
             return same.cast(docs.schema["n_chars"].dataType).alias("n_chars")
         return F.col(f"`{name}`")
 
-    return done.select(*(column(c) for c in columns))
+    return done.filter(~emptied).select(*(column(c) for c in docs.columns))
 
 
 def line_report(docs: DataFrame) -> DataFrame:
@@ -149,12 +149,12 @@ def line_report(docs: DataFrame) -> DataFrame:
     ``clean_sha256`` is that of the text left (null text: of nothing).
     """
     text = F.col("text").cast("string").alias("text")
-    done = _cleaned(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text, "source"))
+    done, gone, clean = _cleaned(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text, "source"))
     return done.select(
         "doc_id",
         F.when(F.col("text").isNull(), 0).otherwise(F.size(_lines(F.col("text")))).cast("long").alias("n_lines"),
-        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
-        F.sha2(F.coalesce("clean", F.lit("")).cast("binary"), 256).alias("clean_sha256"),
+        F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed"),
+        F.sha2(F.coalesce(clean, F.lit("")).cast("binary"), 256).alias("clean_sha256"),
     )
 
 
