@@ -141,7 +141,7 @@ class Scorer:
                 pay = _PAY[state][kind]
                 if pay:
                     sums[pay] += weight
-                    hits += 1
+                    hits += pay in (1, 4, 5)
                 state = _FOLLOW[state][kind]
             return hits
 
