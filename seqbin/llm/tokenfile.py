@@ -18,17 +18,18 @@ u8[ceil(chunks / 8)], directory u64[ceil(chunks / 512)].
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from seqbin.llm.pretokens import ODD, splitter
 from seqbin.staging import stage_path
 
 CHUNK = 8
@@ -122,10 +123,6 @@ class LibraryEncoder:
     are ordinary text.
     """
 
-    # letters, digits, punctuation and white space on which all regex engines agree
-    _ODD = re.compile("[^\\t\\n\\r\\x20-\\x7e\\u00a1\\u00ab\\u00bb\\u00bf-\\u024f\\u2013\\u2014\\u2018-\\u201d\\u2026]")
-    _CUT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-
     def __init__(self, tokenizer_path: str, remember: int = REMEMBER):
         import os
 
@@ -135,6 +132,7 @@ class LibraryEncoder:
         self.library = Tokenizer.from_file(tokenizer_path)
         self.library.encode_special_tokens = True
         self.remember = remember
+        self.cut = splitter(public_tokenizers.PATTERN)
         self.known: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
@@ -143,8 +141,8 @@ class LibraryEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of every text."""
-        plain = [self._ODD.search(t) is None for t in texts]
-        cut = [self._CUT.findall(t) if ok else () for t, ok in zip(texts, plain, strict=True)]
+        plain = [ODD.search(t) is None for t in texts]
+        cut = [self.cut(t) if ok else () for t, ok in zip(texts, plain, strict=True)]
         whole = iter(self._whole([t for t, ok in zip(texts, plain, strict=True) if not ok]))
         missing = set().union(*cut).difference(self.known)
         if len(self.known) + len(missing) > self.remember:
