@@ -28,9 +28,11 @@ def document_mates(spark: SparkSession, sf_dir: str) -> DataFrame:
     dna = documents.select("doc_id", F.col("source").alias("label"), bases.alias("dna"))
     cuts = F.sequence(F.lit(0), F.expr(f"cast(greatest(length(dna) - 1, 0) div {READ_BASES} as int)"))
     pieces = F.transform(cuts, lambda i: F.col("dna").substr(i * READ_BASES + 1, F.lit(READ_BASES)))
+    too_long = F.raise_error(F.concat(F.lit("text with too many reads for its ids: "), "doc_id")).cast("int")
+    tile = F.when(F.col("tile") < ID_STEP, F.col("tile")).otherwise(too_long)
     tiled = dna.select("doc_id", "label", F.posexplode(pieces).alias("tile", "piece"))
     return tiled.select(
-        (F.col("doc_id") * ID_STEP + F.col("tile")).alias("read_id"),
+        (F.col("doc_id") * ID_STEP + tile).alias("read_id"),
         "label",
         F.left("piece", F.lit(MATE_BASES)).alias("fw"),
         F.substr("piece", F.lit(MATE_BASES + 1)).alias("bw"),

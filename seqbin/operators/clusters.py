@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
+from pyspark.mllib.clustering import KMeans, KMeansModel
+from pyspark.mllib.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqbin.operators.results import one_per_read
 from seqbin.staging import stage
 
 #: prediction of reads that are in no clustered group
@@ -16,39 +17,52 @@ UNASSIGNED = -1
 def cluster_groups(vectors: DataFrame, k: int, max_iter: int = 100, seed: int = 7) -> DataFrame:
     """``(group_id, prediction)``; groups without features are left out of the fit and get -1.
 
-    The rows are range partitioned and sorted by group id before the fit, so the
-    seeded start does not depend on how the input was partitioned.
+    k-means from ``k`` fixed starts: of all different vectors those whose group has
+    the smallest hash (under ``seed``). So the start does not depend on partitions or
+    cluster settings. With fewer different vectors there are fewer clusters.
     """
     known = vectors.filter(F.col("features").isNotNull())
-    points = stage(
-        known.select("group_id", "features")
-        .repartitionByRange("group_id")
-        .sortWithinPartitions("group_id"),
-        "points",
-    ).select("group_id", array_to_vector("features").alias("features"))
+    points = stage(known.select("group_id", "features"), "points")
     without = vectors.filter(F.col("features").isNull()).select(
         "group_id", F.lit(UNASSIGNED).alias("prediction")
     )
-    if points.isEmpty():
+    order = F.min(F.struct(F.xxhash64(F.lit(seed), "group_id").alias("h"), F.col("group_id").alias("g")))
+    starts = [
+        r.features for r in points.groupBy("features").agg(order.alias("o")).orderBy("o").limit(k).collect()
+    ]  # k rows
+    if not starts:
         return without
-    cached = points.persist()  # read once per iteration; recomputed from the stage table if lost
-    model = KMeans(k=k, maxIter=max_iter, seed=seed).fit(cached)
-    cached.unpersist()
-    return model.transform(points).select("group_id", "prediction").unionByName(without)
+    data = points.rdd.map(lambda r: Vectors.dense(r.features)).persist()
+    model = KMeans.train(data, len(starts), maxIterations=max_iter, initialModel=KMeansModel(starts))
+    data.unpersist()
+    features = F.col("features")
+    distances = [
+        F.struct(
+            F.aggregate(
+                F.zip_with(features, F.array(*map(F.lit, map(float, c))), lambda x, y: (x - y) * (x - y)),
+                F.lit(0.0),
+                lambda total, d: total + d,
+            ).alias("d"),
+            F.lit(i).alias("i"),
+        )
+        for i, c in enumerate(model.centers)
+    ]
+    nearest = F.array_min(F.array(*distances))["i"].alias("prediction")
+    return points.select("group_id", nearest).unionByName(without)
 
 
 def label_groups(groups: DataFrame, clusters: DataFrame) -> DataFrame:
     """``(read_id, predict)``: each group member with the cluster of its group, or -1."""
-    members = groups.select("group_id", "read_id").distinct()
-    return members.join(clusters, "group_id", "left").select(
+    return groups.select("group_id", "read_id").join(clusters, "group_id", "left").select(
         "read_id", F.coalesce("prediction", F.lit(UNASSIGNED)).alias("predict")
     )
 
 
 def label_reads(reads: DataFrame, group_labels: DataFrame) -> DataFrame:
-    """``(read_id, label, predict)`` for every read; -1 when it has no group."""
+    """``(read_id, label, predict)``, one row per read; -1 when it has no group."""
     return (
-        reads.select("read_id", "label")
+        one_per_read(reads)
+        .select("read_id", "label")
         .join(group_labels, "read_id", "left")
         .select("read_id", "label", F.coalesce("predict", F.lit(UNASSIGNED)).alias("predict"))
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqbin.staging import stage
+from seqbin.staging import release, stage
 
 
 def both_directions(edges: DataFrame) -> DataFrame:
@@ -28,24 +28,21 @@ def vertices(edges: DataFrame, reads: DataFrame | None = None, drop_isolated: bo
 
 
 def neighbors(edges: DataFrame, max_list: int = 100_000) -> DataFrame:
-    """``(read_id, nbrs)``: sorted neighbour ids.
+    """``(read_id, part, parts, nbrs)``: sorted neighbour ids.
 
-    A list longer than ``max_list`` continues in further rows of the same read,
-    so a hub is never gathered into one array.
+    A list longer than ``max_list`` is held in ``parts`` rows, so a hub is never
+    gathered into one array; ``parts`` is 1 for all other reads.
     """
     pairs = both_directions(edges).filter(F.col("read_id") != F.col("nbr"))
-    hubs = (
+    sizes = (
         pairs.groupBy("read_id")
         .agg(F.count("*").alias("n"))
-        .filter(F.col("n") > max_list)
         .select("read_id", F.ceil(F.col("n") / F.lit(max_list)).cast("int").alias("parts"))
     )
-    parts = F.coalesce("parts", F.lit(1))
     return (
-        pairs.join(hubs, "read_id", "left")
-        .groupBy("read_id", F.pmod(F.xxhash64("nbr"), parts).alias("part"))
+        pairs.join(sizes, "read_id")
+        .groupBy("read_id", F.pmod(F.xxhash64("nbr"), "parts").cast("int").alias("part"), "parts")
         .agg(F.sort_array(F.collect_set("nbr")).alias("nbrs"))
-        .select("read_id", "nbrs")
     )
 
 
@@ -69,7 +66,8 @@ def connected_components(edges: DataFrame, on_round=None) -> DataFrame:
         number = len(picks)
         pick = stage(_pick(current, number), "cc-pick")
         picks.append(pick)
-        current = stage(_contract(current, pick), "cc-edges")
+        last, current = current, stage(_contract(current, pick), "cc-edges")
+        release(last)
         if on_round is not None:
             on_round(number, current.count())
     if not picks:
@@ -127,8 +125,12 @@ def attach_components(reads: DataFrame, components: DataFrame) -> DataFrame:
 
 
 def component_nodes(components: DataFrame, neighbor_lists: DataFrame) -> DataFrame:
-    """``(read_id, component, nbrs)``: empty list for a read without neighbours."""
+    """``(read_id, component, part, parts, nbrs)``: empty list for a read without neighbours."""
     none = F.array().cast("array<bigint>")
     return components.join(neighbor_lists, "read_id", "left").select(
-        "read_id", "component", F.coalesce("nbrs", none).alias("nbrs")
+        "read_id",
+        "component",
+        F.coalesce("part", F.lit(0)).alias("part"),
+        F.coalesce("parts", F.lit(1)).alias("parts"),
+        F.coalesce("nbrs", none).alias("nbrs"),
     )

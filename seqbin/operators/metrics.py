@@ -22,9 +22,12 @@ def confusion_long(labels: DataFrame) -> DataFrame:
     return labels.groupBy("label", "predict").agg(F.count("*").alias("n"))
 
 
-def confusion_matrix(labels: DataFrame) -> DataFrame:
-    """One row per predict, one column per label, 0 where a pair is absent."""
-    wide = confusion_long(labels).groupBy("predict").pivot("label").agg(F.sum("n"))
+def confusion_matrix(labels: DataFrame, values: list[str]) -> DataFrame:
+    """One row per predict, one column per label of ``values``, 0 where a pair is absent.
+
+    Labels that are not listed are left out; the width is the caller's choice.
+    """
+    wide = confusion_long(labels).groupBy("predict").pivot("label", values).agg(F.sum("n"))
     return wide.fillna(0)
 
 
@@ -32,13 +35,17 @@ def binning_metrics(
     labels: DataFrame, discard: bool = True, convention: str = "label_max"
 ) -> DataFrame:
     """One row ``(precision, recall, f_measure)``; null where nothing was assigned."""
+    return _metrics_of_counts(confusion_long(labels), discard, convention)
+
+
+def _metrics_of_counts(counts: DataFrame, discard: bool, convention: str) -> DataFrame:
     counted = (F.col("predict") != UNASSIGNED) if discard else F.lit(True)
     # each count is seen from both of its sides, so the labels are read once
     sides = F.array(
         F.struct(F.lit("label").alias("side"), F.col("label").alias("key")),
         F.struct(F.lit("cluster").alias("side"), F.col("predict").cast("string").alias("key")),
     )
-    counts = confusion_long(labels).select("n", F.when(counted, F.col("n")).alias("used"), F.inline(sides))
+    counts = counts.select("n", F.when(counted, F.col("n")).alias("used"), F.inline(sides))
     best = counts.groupBy("side", "key").agg(
         F.max("used").alias("best"), F.sum("n").alias("total"), F.sum("used").alias("used")
     )
@@ -58,19 +65,12 @@ def binning_metrics(
 def metrics_from_matrix(
     matrix: DataFrame, discard: bool = True, convention: str = "cluster_max"
 ) -> DataFrame:
-    """:func:`binning_metrics` from a :func:`confusion_matrix`."""
-    columns = [F.col(f"`{name}`") for name in matrix.columns if name != "predict"]
-    row_sum = sum(columns[1:], columns[0])
-    row_max = F.greatest(*columns) if len(columns) > 1 else columns[0]
-    counted = (F.col("predict") != UNASSIGNED) if discard else F.lit(True)
-    column_max = [F.coalesce(F.max(F.when(counted, c)), F.lit(0)) for c in columns]
-    row = matrix.agg(
-        sum(column_max[1:], column_max[0]).alias("label_sum"),
-        F.coalesce(F.sum(F.when(counted, row_max)), F.lit(0)).alias("cluster_sum"),
-        F.sum(row_sum).alias("total"),
-        F.coalesce(F.sum(F.when(counted, row_sum)), F.lit(0)).alias("used"),
-    )
-    return row.select(*_scores(convention))
+    """:func:`binning_metrics` from a :func:`confusion_matrix`; null scores for an empty one."""
+    names = [name for name in matrix.columns if name != "predict"]
+    cells = [F.struct(F.lit(name).alias("label"), F.col(f"`{name}`").cast("bigint").alias("n")) for name in names]
+    none = F.array().cast("array<struct<label:string,n:bigint>>")
+    long = matrix.select("predict", F.inline(F.array(*cells) if cells else none))
+    return _metrics_of_counts(long, discard, convention)
 
 
 def _scores(convention: str) -> list[Column]:

@@ -27,7 +27,7 @@ from seqbin.operators.kmers import (
     link_rank,
     read_kmers,
 )
-from seqbin.operators.skew import hot_keys, sample_rows, sample_step
+from seqbin.operators.skew import hot_keys, sample_reads, sample_step
 from seqbin.staging import stage
 
 #: rows of one hot k-mer that meet in one join key
@@ -61,8 +61,7 @@ def overlap_edges(
         tokens = tokens.withColumn("link", F.lit(_NO_LINK).cast("bigint"))
     if hot is None:
         step = sample_step(hot_limit)
-        sampled = tokens.filter(F.pmod(F.xxhash64("read_id"), F.lit(step)) == 0)
-        hot = hot_kmers(sampled, hot_limit, step)
+        hot = hot_kmers(sample_reads(tokens, step), hot_limit, step)
     keys = ["kmer"] if within is None else ["kmer", within]
     apart = None if across is None else F.col(f"a.{across}") != F.col(f"b.{across}")
     if hot.isEmpty():
@@ -71,7 +70,9 @@ def overlap_edges(
         shared = tokens.withColumn("n", F.count("*").over(together)).filter("n > 1").drop("n")
         return _weigh(_shared(stage(shared, "shared-kmers"), keys, apart)).filter(F.col("weight") >= m)
 
-    marked = stage(_ignore_hottest(tokens, hot, m), "marked-kmers")
+    several = tokens.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1").select(*keys)
+    shared = tokens.join(several, keys, "left_semi")
+    marked = stage(_ignore_hottest(shared, hot, m), "marked-kmers")
     kept = marked.filter(~F.col("ignored"))
     cold = _shared(kept.filter(F.col("n_est").isNull()), keys, apart)
     warm = _shared(_blocks(kept.filter(F.col("n_est").isNotNull())), [*keys, "lo", "hi"], apart, blocks=True)
@@ -85,17 +86,18 @@ def overlap_of_reads(
     """:func:`overlap_edges` of the k-mers of ``reads``.
 
     k-mers of up to 31 bases are packed and linked; longer ones stay text. Hot
-    k-mers are looked for in a sample of the reads, before k-mers are made.
+    k-mers are looked for in a fixed sample of the reads, chosen by hashed id.
     ``within`` is a column of ``reads`` on which both reads must agree.
     """
 
     if within is not None:
         # the caller vouches that each group is small, so no k-mer is hot inside it
         tokens = any_tokens(reads, k, carry=within)
-        none_hot = stage(any_tokens(reads.limit(0), k).select("kmer", F.lit(0).alias("n_est")), "hot-kmers")
+        kind = "bigint" if k <= MAX_PACKED_K else "string"
+        none_hot = reads.sparkSession.createDataFrame([], f"kmer {kind}, n_est bigint")
         return overlap_edges(tokens, m, hot=none_hot, within=within)
     step = sample_step(hot_limit)
-    hot = hot_kmers(any_tokens(sample_rows(reads, step), k), hot_limit, step)
+    hot = hot_kmers(any_tokens(sample_reads(reads, step), k), hot_limit, step)
     return overlap_edges(any_tokens(reads, k), m, hot=hot)
 
 

@@ -1,7 +1,7 @@
 """Finding hot keys before rows are shuffled on them.
 
-What is found here only chooses how rows are spread over tasks. Results do not
-depend on it, so a sample of the rows is enough.
+What is found here only chooses how rows are spread over tasks; results do not
+depend on it.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: every n-th row is looked at when the limit is large enough to show in a sample
+#: one row in so many is looked at when the limit is large enough to show in a sample
 SAMPLE_STEP = 64
 
 
@@ -18,17 +18,17 @@ def sample_step(limit: int) -> int:
     return SAMPLE_STEP if limit >= 16 * SAMPLE_STEP else 1
 
 
-def sample_rows(df: DataFrame, step: int) -> DataFrame:
-    """Every ``step``-th row of each partition."""
+def sample_reads(reads: DataFrame, step: int) -> DataFrame:
+    """The reads whose hashed id is divisible by ``step``: the same ones at any partitioning."""
     if step == 1:
-        return df
-    return df.filter(F.monotonically_increasing_id() % step == 0)
+        return reads
+    return reads.filter(F.pmod(F.xxhash64("read_id"), F.lit(step)) == 0)
 
 
-def hot_keys(sampled: DataFrame, key: str, limit: int, step: int) -> DataFrame:
-    """``(key, n_est)`` for keys estimated in more than ``limit`` rows."""
+def hot_keys(rows: DataFrame, key: str, limit: int, step: int = 1) -> DataFrame:
+    """``(key, n_est)`` for keys in more than ``limit`` rows; ``step`` as for the sample."""
     return (
-        sampled.groupBy(key)
+        rows.groupBy(key)
         .agg((F.count("*") * step).alias("n_est"))
         .filter(F.col("n_est") > limit)
     )

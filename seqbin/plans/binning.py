@@ -8,19 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqbin.operators.clusters import cluster_groups, label_groups, label_reads
-from seqbin.operators.cover import covered_components, small_component_edges, verified_stars
-from seqbin.operators.graph import (
-    attach_components,
-    component_nodes,
-    connected_components,
-    neighbors,
-)
-from seqbin.operators.groups import discard_small, group_reads, rounds_from_hubs, seed_groups
+from seqbin.operators.copies import expand_components, expand_groups, read_copies
+from seqbin.operators.graph import attach_components, connected_components
+from seqbin.operators.groups import discard_small, group_reads
 from seqbin.operators.metrics import binning_metrics
-from seqbin.operators.overlap import any_tokens, hot_kmers, overlap_edges
+from seqbin.operators.overlap import overlap_of_reads
 from seqbin.operators.records import merge_mates, parse_records, with_read_index
 from seqbin.operators.results import results
-from seqbin.operators.skew import sample_rows, sample_step
+from seqbin.operators.stats import stage_stats
 from seqbin.operators.vectors import frequency_vectors
 from seqbin.params import BinningParams
 from seqbin.sinks.results import write_cluster_fasta, write_labels, write_summary
@@ -40,6 +35,13 @@ class Binning:
     vectors: DataFrame
     clusters: DataFrame
     labels: DataFrame
+    edges: DataFrame
+    copies: DataFrame
+
+    def stats(self) -> DataFrame:
+        """``(stage, n)``: reads, edges between different reads, and copies left out of them."""
+        extra = self.copies.filter("read_id <> rep").agg(F.count("*").alias("n"))
+        return stage_stats(self.reads, edges=self.edges).unionByName(extra.select(F.lit("copies").alias("stage"), "n"))
 
     def metrics(self, convention: str = "label_max") -> DataFrame:
         return binning_metrics(self.labels, self.params.discard, convention)
@@ -61,55 +63,41 @@ def index_records(records: DataFrame) -> DataFrame:
     return stage(with_read_index(merged), "reads")
 
 
-def find_groups(reads: DataFrame, params: BinningParams, work_dir: str | None = None) -> DataFrame:
-    """Seed groups of all reads.
+def find_overlaps(reads: DataFrame, params: BinningParams) -> tuple[DataFrame, DataFrame]:
+    """``(edges, copies)``: overlaps between different reads, and who stands for whom.
 
-    Without hot k-mers each k-mer ties a bounded number of reads, and the pairs
-    are listed as edges. With hot k-mers the pairs could grow with the square of
-    the input; then components come from shared windows, pairs are listed only
-    inside small components, and large ones are grouped by rounds.
+    All pairs of different reads are listed, however hot their k-mers are: the
+    edge table is part of the result. Copies of a read are in ``copies`` only.
     """
-    k, m = params.kmer_size, params.threshold
-    step = sample_step(params.hot_kmer_reads)
-
-    hot = hot_kmers(any_tokens(sample_rows(reads, step), k), params.hot_kmer_reads, step)
-    ids = reads.select("read_id").distinct()
-    if hot.isEmpty():
-        edges = stage(overlap_edges(any_tokens(reads, k), m, hot=hot), "edges")
-        if work_dir is not None:
-            write_edges(edges, f"{work_dir}/edges", params.fmt)
-            edges = read_edges(reads.sparkSession, f"{work_dir}/edges", params.fmt)
-        components = stage(attach_components(ids, connected_components(edges)), "components")
-        return group_reads(
-            edges,
-            components,
-            neighbors,
-            params.seed_max,
-            params.max_local_component,
-            params.strict_seed_cap,
-        )
-
-    components, hubs = covered_components(reads, k, m, params.hot_kmer_reads)
-    sizes = components.groupBy("component").agg(F.count("*").alias("n"))
-    large = stage(sizes.filter(F.col("n") > params.max_local_component).select("component"), "large")
-    in_large = stage(components.join(large, "component", "left_semi"), "large-reads")
-    in_small = stage(
-        components.join(large, "component", "left_anti").join(
-            sizes.filter("n > 1").select("component"), "component", "left_semi"
-        ),
-        "small-reads",
-    )
-    small_edges = stage(small_component_edges(reads, in_small, k, m), "small-edges")
-    in_any_small = components.join(large, "component", "left_anti")
-    small = seed_groups(
-        component_nodes(in_any_small, neighbors(small_edges)), params.seed_max, params.strict_seed_cap
-    )
-    if large.isEmpty():
-        return small
-    large_hubs = stage(hubs.join(in_large.select("read_id"), "read_id", "left_semi"), "large-hubs")
-    large_reads = reads.join(in_large.select("read_id"), "read_id", "left_semi")
-    stars = stage(verified_stars(large_hubs, large_reads, k, m, params.hot_kmer_reads), "stars")
-    return small.unionByName(rounds_from_hubs(large_hubs, in_large, params.seed_max, stars))
+    copies = stage(read_copies(reads, params.kmer_size, params.threshold), "copies")
+    first = copies.filter("read_id = rep").select("read_id")
+    different = stage(reads.join(first, "read_id", "left_semi"), "different-reads")
+    edges = overlap_of_reads(different, params.kmer_size, params.threshold, params.hot_kmer_reads)
+    return stage(edges.select("src", "dst"), "edges"), copies
+
+
+def groups_from_overlaps(edges: DataFrame, copies: DataFrame, params: BinningParams) -> DataFrame:
+    """Seed groups of all reads from :func:`find_overlaps`.
+
+    One rule at every size: it depends on the overlaps and the parameters only.
+    Copies join the group of the read that stands for them.
+    """
+    first = copies.filter("read_id = rep").select("read_id")
+    components = stage(attach_components(first, connected_components(edges)), "components")
+    groups = group_reads(edges, components, params.seed_max, params.group_method, params.strict_seed_cap)
+    return expand_groups(groups, copies)
+
+
+def components_of_reads(reads: DataFrame, params: BinningParams) -> DataFrame:
+    """``(read_id, component)`` of every read, by pairs of different reads and their copies."""
+    edges, copies = find_overlaps(reads, params)
+    first = copies.filter("read_id = rep").select("read_id")
+    return expand_components(attach_components(first, connected_components(edges)), copies)
+
+
+def find_groups(reads: DataFrame, params: BinningParams) -> DataFrame:
+    """Seed groups of all reads."""
+    return groups_from_overlaps(*find_overlaps(reads, params), params)
 
 
 def bin_reads(
@@ -120,8 +108,9 @@ def bin_reads(
 ) -> Binning:
     """Bin the reads of a FASTA path or of a ``(rec)`` table.
 
-    With ``work_dir`` the edges (where listed) and the group vectors are also
-    kept there, in ``params.fmt``, and read back for the next phase.
+    With ``work_dir`` the edges, the copies and the group vectors are also kept
+    there, in ``params.fmt`` (copies as parquet), and read back for the next phase;
+    see :func:`groups_from_edges` and :func:`labels_from_vectors`.
     """
     params = params or BinningParams()
     records = read_fasta(spark, source) if isinstance(source, str) else source
@@ -133,23 +122,49 @@ def bin_indexed(
     reads: DataFrame, params: BinningParams, work_dir: str | None = None
 ) -> Binning:
     """:func:`bin_reads` from indexed reads."""
-    groups = find_groups(reads, params, work_dir)
-    if params.discard:
-        groups = discard_small(stage(groups, "all-groups"), params.min_group_size)
-    groups = stage(groups, "groups")
+    edges, copies = find_overlaps(reads, params)
+    if work_dir is not None:
+        write_edges(edges, f"{work_dir}/edges", params.fmt)
+        copies.write.mode("overwrite").parquet(f"{work_dir}/copies")
+        groups = groups_from_edges(reads, params, work_dir)
+    else:
+        groups = _kept_groups(groups_from_overlaps(edges, copies, params), params)
     vectors = stage(frequency_vectors(groups, reads, params.profile_k), "vectors")
     if work_dir is not None:
         write_vectors(vectors, f"{work_dir}/vectors", params.fmt)
-        kept = read_vectors(reads.sparkSession, f"{work_dir}/vectors", params.fmt)
-        vectors = kept.withColumn("features", F.when(F.size("features") > 0, F.col("features")))
+        vectors, clusters, labels = labels_from_vectors(groups, reads, params, work_dir)
+    else:
+        clusters, labels = _labels(vectors, groups, reads, params)
+    return Binning(params, reads, groups, vectors, clusters, labels, edges, copies)
+
+
+def groups_from_edges(reads: DataFrame, params: BinningParams, work_dir: str) -> DataFrame:
+    """Groups of a run from the edge and copy files in its ``work_dir``."""
+    spark = reads.sparkSession
+    edges = read_edges(spark, f"{work_dir}/edges", params.fmt)
+    copies = spark.read.schema("read_id long, rep long").parquet(f"{work_dir}/copies")
+    return _kept_groups(groups_from_overlaps(edges, copies, params), params)
+
+
+def labels_from_vectors(
+    groups: DataFrame, reads: DataFrame, params: BinningParams, work_dir: str
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(vectors, clusters, labels)`` of a run from the vector file in its ``work_dir``."""
+    kept = read_vectors(reads.sparkSession, f"{work_dir}/vectors", params.fmt)
+    vectors = kept.withColumn("features", F.when(F.size("features") > 0, F.col("features")))
+    return vectors, *_labels(vectors, groups, reads, params)
+
+
+def _kept_groups(groups: DataFrame, params: BinningParams) -> DataFrame:
+    if params.discard:
+        groups = discard_small(stage(groups, "all-groups"), params.min_group_size)
+    return stage(groups, "groups")
+
+
+def _labels(
+    vectors: DataFrame, groups: DataFrame, reads: DataFrame, params: BinningParams
+) -> tuple[DataFrame, DataFrame]:
     clusters = stage(
-        cluster_groups(vectors, params.num_species, params.kmeans_max_iter, params.kmeans_seed),
-        "clusters",
+        cluster_groups(vectors, params.num_species, params.kmeans_max_iter, params.kmeans_seed), "clusters"
     )
-    if "part" in reads.columns:
-        # a read held in several rows repeats its label in each
-        labelled = reads.select("read_id", "label").distinct()
-    else:
-        labelled = reads.select("read_id", "label")
-    labels = stage(label_reads(labelled, label_groups(groups, clusters)), "labels")
-    return Binning(params, reads, groups, vectors, clusters, labels)
+    return clusters, stage(label_reads(reads, label_groups(groups, clusters)), "labels")

@@ -13,6 +13,8 @@ from seqbin.functions.vocabulary import canonical_kmers, canonical_size
 from seqbin.operators import clusters as cl
 from seqbin.operators import graph, groups, kmers, metrics, overlap, records, stats, vectors
 from seqbin.operators import results as res
+from seqbin.operators.copies import read_copies
+from seqbin.operators.cover import covered_components
 from seqbin.params import BinningParams
 from seqbin.plans.binning import bin_reads, find_groups
 from seqbin.sinks.results import write_cluster_fasta, write_labels, write_summary
@@ -670,14 +672,15 @@ def _confusion_long(spark, sf_dir):
     return metrics.confusion_long(_labels(spark, sf_dir))
 
 
+_LABEL_VALUES = [f"src{i}" for i in range(20)]
 _LABEL_COLUMNS = ",\n".join(
-    f"cast(count(*) filter (where label = 'src{i}') as bigint) as src{i}" for i in range(20)
+    f"cast(count(*) filter (where label = '{v}') as bigint) as {v}" for v in _LABEL_VALUES
 )
 
 
 @_query("confusion_matrix", _with(_LABELS_SQL, f"select predict, {_LABEL_COLUMNS} from labels_t group by predict"))
 def _confusion_matrix(spark, sf_dir):
-    return metrics.confusion_matrix(_labels(spark, sf_dir))
+    return metrics.confusion_matrix(_labels(spark, sf_dir), _LABEL_VALUES)
 
 
 def _metrics_sql(discard: bool, convention: str) -> str:
@@ -711,7 +714,7 @@ def _register_metrics() -> None:
                 return _rounded(metrics.binning_metrics(_labels(spark, sf_dir), discard, convention))
 
             def matrix_form(spark, sf_dir, discard=discard, convention=convention):
-                matrix = metrics.confusion_matrix(_labels(spark, sf_dir))
+                matrix = metrics.confusion_matrix(_labels(spark, sf_dir), _LABEL_VALUES)
                 return _rounded(metrics.metrics_from_matrix(matrix, discard, convention))
 
             _query(f"binning_metrics_{suffix}", sql)(long_form)
@@ -726,7 +729,7 @@ _register_metrics()
 def _seed_groups(spark, sf_dir):
     edges = _edges(spark, sf_dir)
     everything = stage(_components(spark, sf_dir, edges), "components")
-    return groups.group_reads(edges, everything, graph.neighbors)
+    return groups.group_reads(edges, everything)
 
 
 @_query("seed_groups_rounds")
@@ -754,3 +757,156 @@ def _cluster_groups(spark, sf_dir):
 @_query("bin_reads")
 def _bin_reads(spark, sf_dir):
     return bin_reads(spark, fixtures.document_records(spark, sf_dir)).labels
+
+
+# --- rules of groups, clusters and labels, as counts of violations ---------------------
+
+
+def _group_rules(edges: DataFrame, components: DataFrame, grouped: DataFrame, cap: int = 20) -> DataFrame:
+    """Per component: its reads, and how often each rule of the groups is broken."""
+    grouped, both = stage(grouped, "grouped"), graph.both_directions(edges)
+    seeds = grouped.filter("is_seed").select(F.col("read_id").alias("nbr"), F.col("group_id").alias("seed_group"))
+    beside = both.join(seeds, "nbr").select("read_id", F.col("seed_group").alias("group_id")).distinct()
+    touching = grouped.join(beside.withColumn("touches", F.lit(True)), ["read_id", "group_id"], "left")
+    touches = F.coalesce("touches", F.lit(False))
+    sizes = grouped.groupBy("group_id").agg(F.count_if("is_seed").alias("seeds"))
+    per_read = (
+        touching.join(sizes, "group_id")
+        .groupBy("read_id")
+        .agg(
+            F.count("*").alias("times"),
+            F.max("component").alias("group_component"),
+            F.count_if(F.col("is_seed") & touches).alias("adjacent"),
+            F.count_if(~F.col("is_seed") & ~touches).alias("loose"),
+            F.count_if(F.col("seeds") > cap).alias("over"),
+        )
+    )
+    misplaced = (F.coalesce("times", F.lit(0)) != 1) | (F.coalesce("group_component", F.lit(-1)) != F.col("component"))
+    return (
+        components.join(per_read, "read_id", "left")
+        .groupBy("component")
+        .agg(
+            F.count("*").alias("n_reads"),
+            F.count_if(misplaced).alias("misplaced_reads"),
+            F.sum(F.coalesce("adjacent", F.lit(0))).alias("adjacent_seeds"),
+            F.sum(F.coalesce("loose", F.lit(0))).alias("loose_members"),
+            F.sum(F.coalesce("over", F.lit(0))).alias("reads_over_cap"),
+        )
+    )
+
+
+_GROUP_RULES = _with(
+    _COMPONENTS_SQL,
+    """select component, cast(count(*) as bigint) as n_reads, cast(0 as bigint) as misplaced_reads,
+              cast(0 as bigint) as adjacent_seeds, cast(0 as bigint) as loose_members, cast(0 as bigint) as reads_over_cap
+       from components group by component""",
+)
+
+
+@_query("seed_groups_rules", _GROUP_RULES)
+def _seed_groups_rules(spark, sf_dir):
+    edges = _edges(spark, sf_dir)
+    everything = stage(_components(spark, sf_dir, edges), "components")
+    return _group_rules(edges, everything, groups.seed_groups_rounds(edges, everything))
+
+
+@_query("greedy_groups_rules", _GROUP_RULES)
+def _greedy_groups_rules(spark, sf_dir):
+    edges = _edges(spark, sf_dir)
+    everything = stage(_components(spark, sf_dir, edges), "components")
+    grown = groups.group_reads(edges, everything, method="greedy", strict_seed_cap=True)
+    return _group_rules(edges, everything, grown)
+
+
+@_query("found_groups_rules", _GROUP_RULES)
+def _found_groups_rules(spark, sf_dir):
+    """The groups of a run, with copies collapsed and a hot limit that this input passes."""
+    edges = _edges(spark, sf_dir)
+    everything = stage(_components(spark, sf_dir, edges), "components")
+    return _group_rules(edges, everything, find_groups(_reads(spark, sf_dir), BinningParams(hot_kmer_reads=8)))
+
+
+@_query("overlap_edges_hot", _with(_EDGES_SQL, "select src, dst, weight from edges"))
+def _overlap_edges_hot(spark, sf_dir):
+    return overlap.overlap_of_reads(_reads(spark, sf_dir), K, M, hot_limit=8)
+
+
+@_query("covered_components", _with(_COMPONENTS_SQL, "select read_id, component from components"))
+def _covered_components(spark, sf_dir):
+    return covered_components(_reads(spark, sf_dir), K, M, hot_limit=8)[0]
+
+
+@_query(
+    "read_copies",
+    _with(
+        _KMERS_SQL,
+        f"""select m.read_id, case when coalesce(n.n, 0) < {M} then m.read_id
+                   else min(m.read_id) over (partition by m.fw, m.bw, coalesce(n.n, 0) >= {M}) end as rep
+            from mates m left join (select read_id, count(*) as n from read_kmers group by read_id) n
+                 on n.read_id = m.read_id""",
+    ),
+)
+def _read_copies(spark, sf_dir):
+    return read_copies(_reads(spark, sf_dir), K, M)
+
+
+@_query(
+    "group_members_rules",
+    _with(_MATES_SQL, "select cast(count(*) as bigint) as n_listed, cast(0 as bigint) as n_repeated from mates"),
+)
+def _group_members_rules(spark, sf_dir):
+    members = groups.group_members(find_groups(_reads(spark, sf_dir), BinningParams()), max_list=7)
+    listed = members.select(F.explode("members").alias("read_id")).groupBy("read_id").agg(F.count("*").alias("n"))
+    return listed.agg(F.sum("n").alias("n_listed"), F.count_if("n > 1").alias("n_repeated"))
+
+
+@_query(
+    "cluster_groups_rules",
+    _with(
+        _VECTORS_SQL,
+        """select cast(count(*) as bigint) as n_groups, cast(0 as bigint) as n_repeated, cast(2 as bigint) as n_clusters,
+                  cast(0 as bigint) as n_outside from totals""",
+    ),
+)
+def _cluster_groups_rules(spark, sf_dir):
+    found = cl.cluster_groups(stage(_document_vectors(spark, sf_dir), "vectors"), k=2)
+    counted = found.groupBy("group_id").agg(F.count("*").alias("n"), F.max("prediction").alias("p"))
+    return counted.agg(
+        F.sum("n").alias("n_groups"),
+        F.count_if("n > 1").alias("n_repeated"),
+        F.count_distinct("p").alias("n_clusters"),
+        F.count_if("p < 0 or p > 1").alias("n_outside"),
+    )
+
+
+@_query(
+    "bin_reads_rules",
+    _with(
+        _MATES_SQL,
+        """select label, cast(count(*) as bigint) as n_reads, cast(0 as bigint) as n_repeated,
+                  cast(0 as bigint) as n_outside, cast(0 as bigint) as split_groups
+           from mates where fw <> '' group by label""",
+    ),
+)
+def _bin_reads_rules(spark, sf_dir):
+    """Reads per label, each once, with a known cluster, all members of a group in one."""
+    run = bin_reads(spark, fixtures.document_records(spark, sf_dir))
+    spread = (
+        run.groups.join(run.labels, "read_id")
+        .groupBy("group_id")
+        .agg(F.min("predict").alias("lo"), F.max("predict").alias("hi"), F.min("label").alias("label"))
+        .filter("lo <> hi")
+        .groupBy("label")
+        .agg(F.count("*").alias("split"))
+    )
+    per_read = run.labels.groupBy("read_id", "label").agg(F.count("*").alias("n"), F.max("predict").alias("p"))
+    return (
+        per_read.groupBy("label")
+        .agg(
+            F.sum("n").alias("n_reads"),
+            F.count_if("n > 1").alias("n_repeated"),
+            F.count_if("p < -1 or p > 1").alias("n_outside"),
+        )
+        .join(spread, "label", "left")
+        .select("label", "n_reads", "n_repeated", "n_outside", F.coalesce("split", F.lit(0)).alias("split_groups"))
+    )

@@ -3,6 +3,9 @@
 Iterative operators read each table more than once and would otherwise replay
 their whole history. A written table survives the loss of executors, keeps
 columnar pruning and gives the next plan real sizes to choose joins by.
+
+Tables live until :func:`drop_stages`, until the end of the :func:`stage_scope`
+they were written in, or until :func:`release` where a round is known to be done.
 """
 
 from __future__ import annotations
@@ -11,6 +14,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,20 +47,52 @@ def stage_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def drop_stages(spark: SparkSession) -> None:
-    """Delete the stage tables this process wrote; tables read from them end here too."""
+def _delete(spark: SparkSession, paths: list[str]) -> None:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _written:
-        path = hadoop(_written.pop())
-        path.getFileSystem(conf).delete(path, True)
+    for path in paths:
+        target = hadoop(path)
+        target.getFileSystem(conf).delete(target, True)
+
+
+def drop_stages(spark: SparkSession) -> None:
+    """Delete all stage tables this process wrote; tables read from them end here too."""
+    paths = _written[:]
+    _written.clear()
+    _delete(spark, paths)
+
+
+@contextmanager
+def stage_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete the stage tables written inside the block when it ends.
+
+    Results must be written or collected before the end of the block.
+    """
+    before = set(_written)
+    try:
+        yield
+    finally:
+        new = [path for path in _written if path not in before]
+        _written[:] = [path for path in _written if path in before]
+        _delete(spark, new)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as a stage table and return the scan over it."""
     path = stage_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._stage_path = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete stage tables from which everything needed has been written on."""
+    for table in tables:
+        path = getattr(table, "_stage_path", None)
+        if path in _written:
+            _written.remove(path)
+            _delete(table.sparkSession, [path])
 
 
 def spread(scan: DataFrame, key: str) -> DataFrame:

@@ -33,7 +33,9 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
 def normal(frame: pd.DataFrame) -> pd.DataFrame:
     frame = frame[sorted(frame.columns)]
     for column in frame.columns:
-        if frame[column].dtype.kind in "iu":
+        if frame[column].isna().any():
+            frame = frame.assign(**{column: [None if pd.isna(x) else str(x).removesuffix(".0") for x in frame[column]]})
+        elif frame[column].dtype.kind in "iu":
             frame = frame.assign(**{column: frame[column].astype("int64")})
     return frame.sort_values(list(frame.columns), ignore_index=True)
 

@@ -5,10 +5,20 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqbin import BinningParams
-from seqbin.operators.cover import covered_components, verified_stars
+from seqbin.operators import overlap
+from seqbin.operators.cover import covered_components
 from seqbin.operators.kmers import kmer_tokens
 from seqbin.operators.overlap import hot_kmers
-from seqbin.plans.binning import bin_reads, find_groups
+from seqbin.operators.records import merge_mates, parse_records, with_read_index
+from seqbin.plans.binning import (
+    bin_indexed,
+    bin_reads,
+    components_of_reads,
+    find_groups,
+    groups_from_edges,
+    labels_from_vectors,
+)
+from seqbin.staging import stage, stage_scope
 
 K, M = 8, 3
 
@@ -43,22 +53,60 @@ def skewed_reads() -> dict[int, list[list[str]]]:
     return reads
 
 
-def test_cover_finds_the_same_groups_rules(spark):
+def read_table(spark, reads):
+    return spark.createDataFrame(list(reads.items()), "read_id bigint, mates array<array<string>>")
+
+
+def test_cover_finds_the_components(spark):
     reads = skewed_reads()
     pairs = [(a, b) for a, b, _ in brute.edges({i: brute.kmer_set(r, K) for i, r in reads.items()}, M)]
-    around = brute.neighbor_sets(pairs)
     want = {i: i for i in reads} | brute.components(pairs)
-    table = spark.createDataFrame(list(reads.items()), "read_id bigint, mates array<array<string>>")
+    table = read_table(spark, reads)
     assert not hot_kmers(kmer_tokens(table, K), 10).isEmpty()
-    components, hubs = covered_components(table, K, M, hot_limit=10)
-    assert {r.read_id: r.component for r in components.collect()} == want
-    stars = {r.read_id: r.seed for r in verified_stars(hubs, table, K, M, hot_limit=10).collect()}
-    seeds = {x for x, s in stars.items() if x == s}
-    assert all(b not in around[a] for a in seeds for b in seeds)
-    assert all(s in seeds and (x == s or s in around[x]) for x, s in stars.items())
-    assert set(stars) == {x for x in reads if around[x]}
-    params = BinningParams(kmer_size=K, threshold=M, seed_max=4, hot_kmer_reads=10, max_local_component=15)
-    brute.check_groups(find_groups(table, params).collect(), want, around, None)
+    for limit in (10, 4096):
+        components, _ = covered_components(table, K, M, hot_limit=limit)
+        assert {r.read_id: r.component for r in components.collect()} == want
+    params = BinningParams(kmer_size=K, threshold=M, hot_kmer_reads=10)
+    assert {r.read_id: r.component for r in components_of_reads(table, params).collect()} == want
+
+
+def test_one_grouping_at_every_limit_and_partitioning(spark, monkeypatch):
+    reads = skewed_reads()
+    reads |= {300 + i: reads[0] for i in range(25)} | {400 + i: [["ACGT"]] for i in range(3)}  # copies, and too short ones
+    pairs = [(a, b) for a, b, _ in brute.edges({i: brute.kmer_set(r, K) for i, r in reads.items()}, M)]
+    around = brute.neighbor_sets(pairs)
+    want = {i: i for i in reads} | brute.components(pairs)
+    table = read_table(spark, reads)
+    seen = []
+    for limit, block, partitions in ((4096, 1024, 4), (10, 1024, 1), (10, 7, 13), (3, 16, 5)):
+        monkeypatch.setattr(overlap, "BLOCK_ROWS", block)
+        params = BinningParams(kmer_size=K, threshold=M, seed_max=4, hot_kmer_reads=limit)
+        rows = find_groups(table.repartition(partitions), params).collect()
+        brute.check_groups(rows, want, around, 4)
+        seen.append(sorted(map(tuple, rows)))
+    assert all(rows == seen[0] for rows in seen)
+    # the first maximal independent set by hash, and the smallest adjacent seed
+    rank = {r.read_id: r.h for r in table.select("read_id", F.xxhash64("read_id").alias("h")).collect()}
+    first = {}
+    for i in sorted(reads):
+        first.setdefault(str(reads[i]), i)
+    stands = {i: first[str(reads[i])] if around[i] else i for i in reads}
+    seeds = set()
+    for i in sorted(reads, key=lambda x: (rank[stands[x]], x)):
+        if not around[i] & seeds:
+            seeds.add(i)
+    got = {r[3]: r for r in seen[0]}
+    assert {i for i, r in got.items() if r[4]} == seeds
+    for i in set(reads) - seeds:
+        assert got[i][0] == got[min(around[i] & seeds)][0]
+
+
+def test_greedy_is_a_choice(spark):
+    reads = skewed_reads()
+    pairs = [(a, b) for a, b, _ in brute.edges({i: brute.kmer_set(r, K) for i, r in reads.items()}, M)]
+    want = {i: i for i in reads} | brute.components(pairs)
+    params = BinningParams(kmer_size=K, threshold=M, seed_max=4, group_method="greedy")
+    brute.check_groups(find_groups(read_table(spark, reads), params).collect(), want, brute.neighbor_sets(pairs), None)
 
 
 def species_records(rng: random.Random) -> list[str]:
@@ -84,6 +132,12 @@ def test_end_to_end(spark, tmp_path, fmt):
     score = run.metrics().first()
     assert score.precision == 1.0 and score.recall > 0.8
     assert run.labels.count() == 120
+    # a run resumes from its files and gives the same
+    groups = groups_from_edges(run.reads, params, str(tmp_path / "work"))
+    assert sorted(groups.collect()) == sorted(run.groups.collect())
+    _, _, labels = labels_from_vectors(groups, run.reads, params, str(tmp_path / "work"))
+    assert sorted(labels.collect()) == sorted(run.labels.collect())
+    assert {r.stage: r.n for r in run.stats().collect()}["reads"] == 120
     run.write(str(tmp_path / "out"))
     assert len(spark.read.text(str(tmp_path / "out/binout"), lineSep="\r\n").collect()) == 120
     fasta = spark.read.text(str(tmp_path / "out/cluster"), lineSep="\r\n")
@@ -95,6 +149,40 @@ def test_end_to_end(spark, tmp_path, fmt):
         other = spark.createDataFrame([(r,) for r in records], "rec string").repartition(13)
         again = bin_reads(spark, other, params)
         assert sorted(again.labels.collect()) == sorted(run.labels.collect())
+        spark.conf.set("spark.sql.shuffle.partitions", "9")
+        try:
+            again = bin_reads(spark, other, params)
+            assert sorted(again.labels.collect()) == sorted(run.labels.collect())
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_a_read_in_several_rows_counts_once(spark, tmp_path):
+    records = species_records(random.Random(4))
+    records += [f"gc1.{i} |SOURCES={{GI=gc,fw}}|\n{'ACGTTGCA' * 6}{'ACGT'[i % 4] * 5}" for i in range(3, 12)]
+    table = spark.createDataFrame([(r,) for r in records], "rec string")
+    reads = stage(with_read_index(merge_mates(parse_records(table), max_mates=4)), "reads")
+    assert reads.count() == 122
+    run = bin_indexed(reads, BinningParams(kmer_size=20, threshold=5))
+    assert run.labels.count() == 120
+    run.write(str(tmp_path / "out"))
+    assert len(spark.read.text(str(tmp_path / "out/binout"), lineSep="\r\n").collect()) == 120
+    lines = [r.value for r in spark.read.text(str(tmp_path / "out/info")).collect()]
+    assert sum(int(line.split()[3]) for line in lines[1:]) == 120
+    rows = run.results().filter("id = 'gc1'").orderBy("part").collect()
+    assert len(rows) == 3 and [r.part for r in rows] == [0, 1, 2]
+    flat = [line for r in rows for line in r.data.split("\n") if line.startswith(">")]
+    assert flat == sorted(flat, key=lambda x: (not x.startswith(">gc1.1 "), x))  # (flag, raw) over all parts
+
+
+def test_stage_scope_deletes_its_tables(spark):
+    import os
+
+    with stage_scope(spark):
+        table = stage(spark.range(3), "scoped")
+        path = table._stage_path
+        assert table.count() == 3 and os.path.isdir(path.removeprefix("file:"))
+    assert not os.path.exists(path.removeprefix("file:"))
 
 
 def test_parameters_are_checked():

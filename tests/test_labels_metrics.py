@@ -37,14 +37,16 @@ def test_metrics(spark, discard, convention, precision, recall):
     labels = label_table(spark)
     want = (precision, recall, 2 / (1 / precision + 1 / recall))
     assert tuple(binning_metrics(labels, discard, convention).first()) == pytest.approx(want)
-    matrix = confusion_matrix(labels)
+    matrix = confusion_matrix(labels, ["A", "B"])
     assert tuple(metrics_from_matrix(matrix, discard, convention).first()) == pytest.approx(want)
 
 
 def test_metrics_without_assigned_reads(spark):
     labels = label_table(spark, [("A", -1), ("A", -1)])
-    for row in (binning_metrics(labels).first(), metrics_from_matrix(confusion_matrix(labels)).first()):
+    for row in (binning_metrics(labels).first(), metrics_from_matrix(confusion_matrix(labels, ["A"])).first()):
         assert row.precision is None and row.f_measure is None and row.recall == 0.0
+    empty = metrics_from_matrix(labels.select("predict")).first()
+    assert tuple(empty) == (None, None, None)
     with pytest.raises(ValueError):
         binning_metrics(labels, convention="other")
 
