@@ -21,20 +21,20 @@ WINDOW = 10
 #: item windows up to which they are broadcast: some 200 bytes each
 BROADCAST_WINDOWS = 200_000
 
+#: leading words of a window that are looked up first
+ANCHOR = 3
+
+# ASCII that separates words becomes a blank, A-Z become lower case; all else stays
+_SEPARATORS = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: what separates words before and after A-Z become lower case
-_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words(text: str = "text") -> Column:
     """The words of a text, in order; empty for a null text."""
-    lower = F.translate(F.coalesce(F.col(text).cast("string"), F.lit("")), _UPPER, _LOWER)
-    return F.array_remove(F.split(lower, _GAP, -1), "")
-
-
-def count_words(text: str = "text") -> Column:
-    return F.coalesce(F.regexp_count(F.col(text).cast("string"), F.lit(_WORD)), F.lit(0)).cast("long")
+    plain = F.translate(
+        F.coalesce(F.col(text).cast("string"), F.lit("")), _SEPARATORS + _UPPER, " " * len(_SEPARATORS) + _LOWER
+    )
+    return F.array_remove(F.split(plain, " ", -1), "")
 
 
 def _windows(all_words: Column, size: int | Column) -> Column:
@@ -49,6 +49,14 @@ def _windows(all_words: Column, size: int | Column) -> Column:
     )
 
 
+def _leads(all_words: Column, size: int, lead: int) -> Column:
+    """Hashes of the first ``lead`` words of every window, by position."""
+    return F.transform(
+        F.sequence(F.lit(0), F.size(all_words) - size),
+        lambda i: F.xxhash64(*(F.get(all_words, i + j if j else i) for j in range(lead))),
+    )
+
+
 def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``(size, h, gram, items)``: each distinct window with the items that hold it."""
     items = (
@@ -69,18 +77,26 @@ def window_hits(docs: DataFrame, grams: DataFrame, window: int = WINDOW, broadca
     counts = {r["size"]: r["n"] for r in grams.groupBy("size").agg(F.count("*").alias("n")).collect()}  # at most `window` rows
     small = sum(counts.values()) <= broadcast_windows
     tokens = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words().alias("w"))
+    w, pos = F.col("w"), F.col("pos")
     parts = []
     for size in sorted(counts):
         looked_up = grams.filter(F.col("size") == size).select("h", "gram", "items")
+        texts = tokens.filter(F.size("w") >= size)
         if small:
-            looked_up = F.broadcast(looked_up)
-        hashed = tokens.filter(F.size("w") >= size).select("doc_id", "w", F.inline(_windows(F.col("w"), size)))
-        if not small:
+            # the first words of a window are hashed everywhere, the whole window only where they match
+            lead = min(ANCHOR, size)
+            anchors = looked_up.select(F.xxhash64(*(F.get("gram", F.lit(j)) for j in range(lead))).alias("a")).distinct()
+            starts = texts.select("doc_id", "w", F.posexplode(_leads(w, size, lead)).alias("pos", "a"))
+            hashed = starts.join(F.broadcast(anchors), "a", "left_semi").withColumn(
+                "h", F.xxhash64(F.slice(w, pos + 1, size))
+            )
+            hit = hashed.join(F.broadcast(looked_up), "h").filter(F.slice(w, pos + 1, size) == F.col("gram"))
+        else:
             # ship the window and not the text
-            hashed = hashed.select("doc_id", F.slice("w", F.col("pos") + 1, size).alias("own"), "h", "pos")
+            hashed = texts.select("doc_id", "w", F.inline(_windows(w, size))).select(
+                "doc_id", F.slice(w, pos + 1, size).alias("own"), "h", "pos"
+            )
             hit = hashed.join(looked_up, "h").filter("own = gram")
-        else:
-            hit = hashed.join(looked_up, "h").filter(F.slice("w", F.col("pos") + 1, size) == F.col("gram"))
         parts.append(hit.select("doc_id", "pos", F.lit(size).alias("size"), "items"))
     if not parts:
         return docs.select(
@@ -101,7 +117,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     are told apart by nothing and share their hits.
     """
     hits = document_hits(docs, benchmark, window, broadcast_windows).withColumnRenamed("doc_id", "hit_doc")
-    all_docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), count_words().alias("n_words"))
+    all_docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.size(words()).cast("long").alias("n_words"))
     none = F.array().cast("array<string>")
     ids = F.array_join(F.array_sort(F.coalesce("items", none)), ",")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
