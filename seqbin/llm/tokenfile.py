@@ -36,8 +36,8 @@ CHUNK = 8
 RANK_BITS = 512
 #: a segment is closed when it holds this many ids
 SEGMENT_IDS = 1 << 18
-#: pre-tokens a worker remembers
-REMEMBER = 500_000
+#: pre-tokens of one generation of a worker's memory (about 150 bytes each)
+REMEMBER = 700_000
 #: characters of text per range partition of the writer
 PARTITION_CHARS = 24_000_000
 
@@ -118,7 +118,7 @@ class LibraryEncoder:
 
     Texts of plain characters are cut into pre-tokens here, by the byte-level
     pattern, and every new pre-token goes through the library; its ids are
-    remembered. A text with any other character goes through the library whole,
+    remembered, in two generations of about ``remember`` entries. A text with any other character goes through the library whole,
     so that the library's own character classes decide. Strings of special tokens
     are ordinary text.
     """
@@ -134,6 +134,7 @@ class LibraryEncoder:
         self.remember = remember
         self.cut = splitter(public_tokenizers.PATTERN)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
@@ -144,16 +145,18 @@ class LibraryEncoder:
         plain = [ODD.search(t) is None for t in texts]
         cut = [self.cut(t) if ok else () for t, ok in zip(texts, plain, strict=True)]
         whole = iter(self._whole([t for t, ok in zip(texts, plain, strict=True) if not ok]))
-        missing = set().union(*cut).difference(self.known)
+        pieces = set().union(*cut)
+        missing = pieces.difference(self.known)
         if len(self.known) + len(missing) > self.remember:
-            self.known.clear()
-            missing = set().union(*cut)
-        fresh = list(missing)
-        known = self.known
+            self.older, self.known = self.known, {}
+            missing = pieces
+        known, older = self.known, self.older
+        again = missing.intersection(older)
+        known.update((p, older[p]) for p in again)
+        fresh = list(missing - again)
         known.update(zip(fresh, self._whole(fresh), strict=True))
         return [
-            b"".join(map(known.__getitem__, pieces)) if ok else next(whole)
-            for pieces, ok in zip(cut, plain, strict=True)
+            b"".join(map(known.__getitem__, one)) if ok else next(whole) for one, ok in zip(cut, plain, strict=True)
         ]
 
 
