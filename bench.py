@@ -59,7 +59,7 @@ def main() -> None:
         lambda: stage(graph.attach_components(reads.select("read_id"), graph.connected_components(edges)), "components"),
     )
     grouped = timed(
-        "seed_groups", lambda: stage(groups.group_reads(edges, components, graph.neighbors), "groups")
+        "seed_groups", lambda: stage(groups.group_reads(edges, components), "groups")
     )
     timed("frequency_vectors", lambda: run(vectors.frequency_vectors(grouped, reads)))
     timed("bin_reads", lambda: run(bin_reads(spark, records, params).metrics()))

@@ -857,7 +857,7 @@ def _read_copies(spark, sf_dir):
 def _group_members_rules(spark, sf_dir):
     members = groups.group_members(find_groups(_reads(spark, sf_dir), BinningParams()), max_list=7)
     listed = members.select(F.explode("members").alias("read_id")).groupBy("read_id").agg(F.count("*").alias("n"))
-    return listed.agg(F.sum("n").alias("n_listed"), F.count_if("n > 1").alias("n_repeated"))
+    return listed.agg(F.sum("n").alias("n_listed"), F.count_if(F.expr("n > 1")).alias("n_repeated"))
 
 
 @_query(
@@ -873,9 +873,9 @@ def _cluster_groups_rules(spark, sf_dir):
     counted = found.groupBy("group_id").agg(F.count("*").alias("n"), F.max("prediction").alias("p"))
     return counted.agg(
         F.sum("n").alias("n_groups"),
-        F.count_if("n > 1").alias("n_repeated"),
+        F.count_if(F.expr("n > 1")).alias("n_repeated"),
         F.count_distinct("p").alias("n_clusters"),
-        F.count_if("p < 0 or p > 1").alias("n_outside"),
+        F.count_if(F.expr("p < 0 or p > 1")).alias("n_outside"),
     )
 
 
@@ -904,8 +904,8 @@ def _bin_reads_rules(spark, sf_dir):
         per_read.groupBy("label")
         .agg(
             F.sum("n").alias("n_reads"),
-            F.count_if("n > 1").alias("n_repeated"),
-            F.count_if("p < -1 or p > 1").alias("n_outside"),
+            F.count_if(F.expr("n > 1")).alias("n_repeated"),
+            F.count_if(F.expr("p < -1 or p > 1")).alias("n_outside"),
         )
         .join(spread, "label", "left")
         .select("label", "n_reads", "n_repeated", "n_outside", F.coalesce("split", F.lit(0)).alias("split_groups"))
