@@ -11,11 +11,12 @@ corpus and stay in tables.
 * *Corpus.* Texts are packed into blocks of about ``BLOCK_BYTES``: the block's own
   vocabulary and word numbers. A block never exceeds its bound (but for a single
   longer text), and a block's vocabulary meets the corpus counts by one shuffle on
-  the word; texts themselves are not shuffled.
+  the word; texts themselves are not shuffled. Words are told apart by 64 bits of
+  hash: with ten million words, two are confused with probability 3e-6.
 * *Training.* Baum-Welch. Every pass reads all training blocks and cuts their word
-  sequences into pieces of ``PIECE`` words (the state distribution is taken over at
-  the cut from the forward pass of the piece before where it is at hand, else from
-  the initial one); the expected counts, of fixed size, are summed over partitions.
+  sequences into pieces of ``PIECE`` words, so that all of a block advance together
+  (at a cut the chain's steady distribution stands in for the state before); the
+  expected counts, of fixed size, are summed over partitions.
 * *Scoring.* The scaled forward recursion over each whole text, end mark included;
   the texts of a block advance together, word by word.
 """
@@ -35,13 +36,15 @@ from seqbin.staging import stage
 
 CLASSES = 1 << 14
 STATES = 8
-ROUNDS = 4
+ROUNDS = 3
 PIECE = 64
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 16 << 20
+#: block numbers leave so many bits for the place in the block's vocabulary
+PLACE_BITS = 25
 #: weight of the corpus-wide class shares in every state's emissions
 SMOOTHING = 200.0
 
-_BLOCK = "block long, vocab array<binary>, train array<long>, docs binary, body binary"
+_BLOCK = "block long, words binary, train binary, docs binary, body binary"
 
 
 @dataclass
@@ -51,19 +54,24 @@ class Model:
     emit: np.ndarray  # (S, CLASSES + 1); the last class is the end mark
 
 
-def word_classes(vocab: list[bytes]) -> np.ndarray:
-    """Class numbers of words, the same in every process."""
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes of words, the same in every process."""
     import xxhash
 
-    return np.array([xxhash.xxh3_64_intdigest(w) % CLASSES for w in vocab], np.int32)
+    return np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64).view(np.int64)
+
+
+def classes_of(hashes: np.ndarray) -> np.ndarray:
+    return (hashes.view(np.uint64) % np.uint64(CLASSES)).astype(np.int32)
 
 
 def pack_blocks(docs: DataFrame, modulus: int = 7, held_out: int = 2) -> DataFrame:
-    """Blocks of tokenised texts of ``(doc_id, text, held_out)``.
+    """Blocks of tokenised texts of ``(doc_id, text)``.
 
-    ``vocab`` lists the distinct words, ``train`` how often each occurs in training
-    texts. ``docs`` are int64 triples (doc_id, words, kind) and ``body`` the int32
-    word numbers of all texts in a row. Kind: 0 training, 1 held out, 2 null doc_id.
+    ``words`` are the int64 hashes of the distinct words of a block, ``train`` int64
+    counts of each in training texts, ``docs`` int64 triples (doc_id, words, kind) and
+    ``body`` the int32 word numbers of all texts in a row. Kind: 0 training, 1 held
+    out, 2 null doc_id.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,16 +85,11 @@ def pack_blocks(docs: DataFrame, modulus: int = 7, held_out: int = 2) -> DataFra
             triples = np.array(head, np.int64).reshape(-1, 3)
             flat = np.concatenate(bodies) if bodies else np.zeros(0, np.int32)
             learn = np.repeat(triples[:, 2] != 1, triples[:, 1])
-            train = np.bincount(flat[learn], minlength=len(index))
+            train = np.bincount(flat[learn], minlength=len(index)).astype(np.int64)
+            values = [word_hashes(list(index)), train, triples, flat]
             return pa.record_batch(
-                [
-                    pa.array([(part << 24) + number], pa.int64()),
-                    pa.array([list(index)], pa.list_(pa.binary())),
-                    pa.array([train.tolist()], pa.list_(pa.int64())),
-                    pa.array([triples.tobytes()], pa.binary()),
-                    pa.array([flat.tobytes()], pa.binary()),
-                ],
-                names=["block", "vocab", "train", "docs", "body"],
+                [pa.array([(part << 18) + number], pa.int64())] + [pa.array([v.tobytes()], pa.binary()) for v in values],
+                names=["block", "words", "train", "docs", "body"],
             )
 
         for batch in batches:
@@ -96,9 +99,10 @@ def pack_blocks(docs: DataFrame, modulus: int = 7, held_out: int = 2) -> DataFra
                 doc_id, text, out = (batch.column(c)[i].as_py() for c in range(3))
                 # bytes.split() cuts exactly at 0x20 and 0x09-0x0D, bytes.lower() changes A-Z only
                 words = (text or "").encode("utf-8").lower().split()
-                codes = np.fromiter((index.setdefault(w, len(index)) for w in words), np.int32, len(words))
+                for word in set(words).difference(index):
+                    index[word] = len(index)
                 head += [doc_id or 0, len(words), 2 if doc_id is None else int(out)]
-                bodies.append(codes)
+                bodies.append(np.array(list(map(index.__getitem__, words)), np.int32))
                 size += len(text or "") + 32
                 if size >= BLOCK_BYTES:
                     yield flush()
@@ -115,6 +119,22 @@ def pack_blocks(docs: DataFrame, modulus: int = 7, held_out: int = 2) -> DataFra
     ).mapInArrow(run, _BLOCK)
 
 
+def word_entries(blocks: DataFrame) -> DataFrame:
+    """``(word, slot, n)``: every word of every block; ``slot`` is block and place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                block = batch.column(0)[i].as_py()
+                hashes, train = (np.frombuffer(batch.column(c)[i].as_py(), np.int64) for c in (1, 2))
+                slot = (np.int64(block) << PLACE_BITS) + np.arange(len(hashes))
+                for at in range(0, len(hashes), 100_000):
+                    rows = [x[at : at + 100_000] for x in (hashes, slot, train)]
+                    yield pa.record_batch([pa.array(x) for x in rows], names=["word", "slot", "n"])
+
+    return blocks.select("block", "words", "train").mapInArrow(run, "word long, slot long, n long")
+
+
 def _pieces(triples: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """``(PIECE, n)`` class numbers of training text with ends, -1 past a piece; and first-piece flags."""
     lengths = triples[:, 1] + 1
@@ -165,16 +185,16 @@ def expected_counts(model: Model, table: np.ndarray, first: np.ndarray):
         beta = np.ones((some.shape[1], states))
         for t in range(steps - 1, -1, -1):
             n = live[t]
-            gamma = alpha[t, :n] * beta[:n]
-            gamma /= gamma.sum(axis=1, keepdims=True)
-            for s in range(states):
-                emit[:, s] += np.bincount(some[t, :n], gamma[:, s], CLASSES + 1)
+            back = by_class[some[t, :n]] * beta[:n] / scale[t, :n, None]
+            alpha[t, :n] *= beta[:n]  # from here on the state shares of each word
             if t:
-                back = by_class[some[t, :n]] * beta[:n] / scale[t, :n, None]
                 move += model.move * (alpha[t - 1, :n].T @ back)
                 beta[:n] = back @ model.move.T
-            else:
-                start += gamma[begins[:n]].sum(axis=0)
+        start += alpha[0][begins].sum(axis=0)
+        used = some[:steps] >= 0
+        words, shares = some[:steps][used], alpha[used]
+        for s in range(states):
+            emit[:, s] += np.bincount(words, shares[:, s], CLASSES + 1)
     return start, move, emit, likelihood
 
 
@@ -229,7 +249,7 @@ def baum_welch(blocks: DataFrame, model: Model, class_counts: np.ndarray) -> Mod
 
     columns = [f"s{s}" for s in range(states)]
     sums = (
-        blocks.select("vocab", "docs", "body")
+        blocks.select("words", "docs", "body")
         .mapInArrow(run, "row long, " + ", ".join(f"{c} double" for c in columns))
         .groupBy("row")
         .agg(*(F.round(F.sum(c), 6).alias(c) for c in columns))
@@ -245,10 +265,8 @@ def baum_welch(blocks: DataFrame, model: Model, class_counts: np.ndarray) -> Mod
 
 
 def _block_classes(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
-    vocab, docs, body = (batch.column(c)[i].as_py() for c in range(3))
-    classes = word_classes(vocab)
-    codes = np.frombuffer(body, np.int32)
-    return np.frombuffer(docs, np.int64).reshape(-1, 3), classes[codes] if len(codes) else np.zeros(0, np.int32)
+    words, docs, body = (batch.column(c)[i].as_py() for c in range(3))
+    return np.frombuffer(docs, np.int64).reshape(-1, 3), classes_of(np.frombuffer(words, np.int64))[np.frombuffer(body, np.int32)]
 
 
 def forward(model: Model, lengths: np.ndarray, classes: np.ndarray) -> np.ndarray:
@@ -289,21 +307,16 @@ def language_model_scores(docs: DataFrame, states: int = STATES, rounds: int = R
     """
     blocks = stage(pack_blocks(docs.select("doc_id", "text"), modulus, held_out), "token-blocks")
     # one shuffle on the word: every block's entry meets the sum over all blocks
-    entries = blocks.select("block", F.arrays_zip("vocab", "train").alias("z")).select(
-        "block", F.posexplode("z").alias("at", "z")
-    ).select("block", "at", F.col("z.vocab").alias("word"), F.col("z.train").alias("n"))
+    same = Window.partitionBy("word")
     counted = stage(
-        entries.withColumn("c", F.sum("n").over(Window.partitionBy("word"))).withColumn(
-            "lead", F.row_number().over(Window.partitionBy("word").orderBy("block"))
-        ),
+        word_entries(blocks).select("word", "slot", F.sum("n").over(same).alias("c"), F.min("slot").over(same).alias("lead")),
         "word-counts",
     )
 
     def by_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, words = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
         for batch in batches:
-            cls = word_classes(batch.column(0).to_pylist())
-            c = batch.column(1).to_numpy()
+            cls, c = classes_of(batch.column(0).to_numpy()), batch.column(1).to_numpy()
             tokens += np.bincount(cls, c, CLASSES).astype(np.int64)
             words += np.bincount(cls, c > 0, CLASSES).astype(np.int64)
         some = np.flatnonzero(words)
@@ -313,7 +326,7 @@ def language_model_scores(docs: DataFrame, states: int = STATES, rounds: int = R
 
     # CLASSES rows at most
     classes = (
-        counted.filter("lead = 1").select("word", "c").mapInArrow(by_class, "class long, tokens long, words long")
+        counted.filter("lead = slot").select("word", "c").mapInArrow(by_class, "class long, tokens long, words long")
         .groupBy("class").agg(F.sum("tokens").alias("tokens"), F.sum("words").alias("words")).collect()
     )
     class_tokens, class_words = np.zeros(CLASSES + 1), np.zeros(CLASSES + 1)
@@ -344,10 +357,10 @@ def language_model_scores(docs: DataFrame, states: int = STATES, rounds: int = R
 
     def run(block: pa.Table, words: pa.Table) -> pa.Table:
         parts = []
-        for row in block.select(["vocab", "docs", "body"]).to_pylist():
-            cls = word_classes(row["vocab"])
+        for row in block.select(["words", "docs", "body"]).to_pylist():
+            cls = classes_of(np.frombuffer(row["words"], np.int64))
             count = np.zeros(len(cls))
-            count[words.column("at").to_numpy()] = words.column("c").to_numpy()
+            count[words.column("slot").to_numpy() & ((1 << PLACE_BITS) - 1)] = words.column("c").to_numpy()
             codes = np.frombuffer(row["body"], np.int32)
             triples = np.frombuffer(row["docs"], np.int64).reshape(-1, 3)
             lengths = triples[:, 1]
@@ -382,9 +395,9 @@ def language_model_scores(docs: DataFrame, states: int = STATES, rounds: int = R
         return pa.concat_tables(parts) if parts else _NOTHING
 
     return (
-        blocks.select("block", "vocab", "docs", "body")
+        blocks.select("block", "words", "docs", "body")
         .groupBy("block")
-        .cogroup(counted.select("block", "at", "c").groupBy("block"))
+        .cogroup(counted.select(F.shiftright("slot", PLACE_BITS).alias("block"), "slot", "c").groupBy("block"))
         .applyInArrow(
             run,
             "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
