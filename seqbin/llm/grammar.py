@@ -99,6 +99,9 @@ _CLOSED = (
     | dict.fromkeys(NEGATION, NEGATE)
 )
 
+#: one shared value for all words without a learned weight
+_WEIGHTLESS = [(symbol, 1.0) for symbol in range(6)]
+
 
 def _features(word: str) -> list[str]:
     """The word itself (``=word``) and its stems (``stem*``)."""
@@ -108,7 +111,7 @@ def _features(word: str) -> list[str]:
 class Scorer:
     """Features and scores of single texts under a grammar."""
 
-    def __init__(self, grammar: Grammar, remember: int = 500_000):
+    def __init__(self, grammar: Grammar, remember: int = 200_000):
         self.grammar = grammar
         self.remember = remember
         self.seen: dict[str, tuple[int, float]] = {}
@@ -121,7 +124,7 @@ class Scorer:
                 [self.grammar.words.get(word, 0.0)]
                 + [self.grammar.stems.get(word[:n], 0.0) for n in STEMS if len(word) > n]
             )
-            found = (INSULT, weight) if weight > 0 else (_CLOSED.get(word, OTHER), 1.0)
+            found = (INSULT, weight) if weight > 0 else _WEIGHTLESS[_CLOSED.get(word, OTHER)]
             if len(self.seen) >= self.remember:
                 self.seen.clear()
             self.seen[word] = found

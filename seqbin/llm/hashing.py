@@ -13,12 +13,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: bytes of text handled at once; a longer single text is handled alone
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 MAX_SHINGLE = 16
 
-_MASK = (1 << 64) - 1
 _rng = np.random.Generator(np.random.PCG64(20240607))
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _BYTE[65:91] = _BYTE[97:123]
@@ -69,7 +69,7 @@ class Words:
 def text_slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
     """``(from, to)`` ranges of about SLICE_BYTES of text each."""
     sizes = np.zeros(len(texts), np.int64)
-    lengths = pa.compute.binary_length(texts).fill_null(0)
+    lengths = pc.binary_length(texts).fill_null(0)
     sizes[:] = lengths.to_numpy(zero_copy_only=False)
     start, total = 0, 0
     for i, size in enumerate(sizes.tolist()):
@@ -117,7 +117,7 @@ def shingles(found: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     left = counts[found.doc] - place
     for j in range(size):
         part = np.zeros(n, np.uint64)
-        part[: n - j] = found.hash[j:] * _PLACE[j] if j else found.hash * _PLACE[0]
+        part[: max(n - j, 0)] = found.hash[j:] * _PLACE[j]
         total += np.where(left > j, part, np.uint64(0))
     used = np.minimum(counts[found.doc], size)
     keep = (left >= size) | ((counts[found.doc] < size) & (place == 0))

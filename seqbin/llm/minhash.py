@@ -36,8 +36,9 @@ from seqbin.staging import stage
 BANDS, ROWS = 36, 5
 REGISTERS = BANDS * ROWS
 MANTISSA = 10
-#: shingles of one side of a block of the exact stage
+#: shingles of one side of a block of the exact stage; a text counts for TEXT_SHINGLES more
 BLOCK_SHINGLES = 200_000
+TEXT_SHINGLES = 100
 
 _rng = np.random.Generator(np.random.PCG64(77))
 #: rank of bucket j in the borrowing order of bucket i
@@ -291,7 +292,8 @@ def _rest_links(members: DataFrame, labels: DataFrame, sets: DataFrame, percent:
     if rows.isEmpty():
         return rows.select(F.col("rep").alias("src"), F.col("rep").alias("dst")).limit(0)
     # the largest component of a bucket is only compared with the others
-    parts = rows.groupBy("band", "component").agg(F.sum("n").alias("m"), F.count("*").alias("k"))
+    weight = F.sum(F.col("n") + TEXT_SHINGLES)
+    parts = rows.groupBy("band", "component").agg(weight.alias("m"), F.count("*").alias("k"))
     whole = parts.groupBy("band").agg(
         F.max_by("component", F.struct("k", "component")).alias("main"),
         F.sum("m").alias("all_m"),

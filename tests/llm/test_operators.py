@@ -71,6 +71,14 @@ def test_near_duplicates_match_brute_force(spark, size):
     assert [got[i] for i in range(len(texts))] == _components(texts, size, 80)
 
 
+@pytest.mark.parametrize("text", ["a", "a b", "a b c", "a b c d", "a b c d e", "a b c d e f"])
+def test_a_single_short_text(text):
+    import pyarrow as pa
+
+    doc, value = hashing.shingles(hashing.words(pa.array([text])), 5)
+    assert len(doc) == len(value) == max(1, len(text.split()) - 4)
+
+
 def test_near_duplicates_in_small_blocks(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 300)
     texts = _family_texts(9, 6, 60)
@@ -135,17 +143,25 @@ def test_memory_of_the_encoder_is_bounded(multi):
         assert len(encoder.known) <= 10
 
 
-def test_rank_bitmap():
-    rng = random.Random(1)
-    bits, plain = bpe.RankBitmap(70_000), set()
-    for _ in range(3000):
-        rank = rng.randrange(70_000)
-        if rng.random() < 0.6:
-            bits.add(rank), plain.add(rank)
-        elif plain:
-            low = min(plain)
-            bits.discard(low), plain.discard(low)
-        assert bits.first() == min(plain, default=-1)
+@pytest.mark.parametrize("alphabet", ["ab", "abcdefghij", "the ing ion", "eaou\u00e9\u00f1"])
+def test_long_pieces_equal_library(multi, alphabet):
+    rng, pairs = random.Random(1), bpe.BytePairs.from_file(RANKS)
+    for length in (2, 7, 40, 300, 4000):
+        piece = "".join(rng.choice(alphabet) for _ in range(length)).encode()
+        assert list(pairs.encode_piece(piece)) == multi._core_bpe.encode_single_piece(piece)
+
+
+def test_quick_split_equals_pattern():
+    import regex
+
+    from seqbin.llm.pretokens import ODD, splitter
+
+    rng = random.Random(2)
+    quick, general = splitter(public_tokenizers.PATTERN), regex.compile(public_tokenizers.PATTERN).findall
+    plain = [c for c in map(chr, range(0x2100)) if not ODD.search(c)]
+    for _ in range(300):
+        text = "".join(rng.choice(plain if rng.random() < 0.5 else " '\n\ta1.") for _ in range(60))
+        assert quick(text) == general(text)
 
 
 def test_token_files_round_trip(spark):
