@@ -15,6 +15,7 @@ from seqbin.operators import graph, groups, kmers, metrics, overlap, records, st
 from seqbin.operators import results as res
 from seqbin.operators.copies import read_copies
 from seqbin.operators.cover import covered_components
+from seqbin.operators.indexing import with_dense_index
 from seqbin.params import BinningParams
 from seqbin.plans.binning import bin_reads, find_groups
 from seqbin.sinks.results import write_cluster_fasta, write_labels, write_summary
@@ -250,32 +251,39 @@ def _vector_dense(spark, sf_dir):
 
 @_query(
     "labels_sink",
-    _with(_LABELS_SQL, "select cast(predict as varchar) as line, cast(count(*) as bigint) as n from labels_t group by 1"),
+    _with(
+        _LABELS_SQL,
+        """select row_number() over (order by length(id), id) - 1 as line_no, cast(predict as varchar) as line
+           from (select 'r' || read_id as id, predict from labels_t)""",
+    ),
 )
 def _labels_sink(spark, sf_dir):
     path = stage_path(spark, "binout")
     write_labels(_results(spark, sf_dir), path)
-    lines = spark.read.text(path, lineSep="\r\n").withColumnRenamed("value", "line")
-    return lines.groupBy("line").agg(F.count("*").alias("n"))
+    lines = spark.read.text(path, lineSep="\r\n").select(
+        F.col("value").alias("line"),
+        F.col("_metadata.file_name").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"),
+    )
+    lines = stage(lines, "label-lines")
+    return with_dense_index(lines, ["file", "block", "at"], "line_no").select("line_no", "line")
 
 
 @_query(
     "cluster_fasta_sink",
     _with(
         _LABELS_SQL,
-        """select l.predict as cluster, cast(count(*) as bigint) as n_reads,
-                  cast(sum(length(m.fw) + length(m.bw)) as bigint) as n_bases
-           from labels_t l join mates m on m.read_id = l.read_id group by 1""",
+        """select l.predict as cluster,
+                  (select string_agg('>' || seq, chr(10) order by pos) from mate_rows r where r.read_id = l.read_id) as data
+           from labels_t l where l.read_id in (select read_id from mate_rows)""",
     ),
 )
 def _cluster_fasta_sink(spark, sf_dir):
     path = stage_path(spark, "cluster")
     write_cluster_fasta(_results(spark, sf_dir), path)
     rows = spark.read.schema("value string, cluster int").text(path, lineSep="\r\n")
-    bases = F.length(F.regexp_replace("value", "[>\n]", ""))
-    return rows.groupBy("cluster").agg(
-        F.count("*").alias("n_reads"), F.sum(bases).cast("bigint").alias("n_bases")
-    )
+    return rows.select("cluster", F.col("value").alias("data"))
 
 
 @_query(
@@ -373,53 +381,48 @@ def _reverse_complement(spark, sf_dir):
     return _mate_rows(spark, sf_dir).select("read_id", "pos", dna.revcomp(with_n).alias("rc"))
 
 
-@_query(
-    "kmers",
-    _with(
-        _KMERS_SQL,
-        """select m.read_id, cast(coalesce(w.n, 0) as bigint) as n, w.first_kmer, w.last_kmer
-           from mates m left join (select read_id, count(*) as n, min(kmer) as first_kmer, max(kmer) as last_kmer
-                                   from words group by read_id) w on w.read_id = m.read_id""",
-    ),
-)
+_CODE_SQL = """list_reduce(
+            list_transform(string_split(translate(kmer, 'ACGT', '0123'), ''), lambda d: cast(d as bigint)),
+            lambda a, d: a * 4 + d)"""
+_KEY_SQL = _KMERS_SQL + f""",
+keyed as (select read_id, {_CODE_SQL} as key from read_kmers)"""
+_WORD_SQL = _KMERS_SQL + f""",
+keyed as (select read_id, {_CODE_SQL} as key from words)"""
+_KEY_SUMMARY = """select read_id, cast(count(*) as bigint) as n, min(key) as low, max(key) as high,
+                         cast(sum(key % 1000003) as bigint) as checksum from keyed group by read_id"""
+
+
+def _key_summary(keyed: DataFrame) -> DataFrame:
+    return keyed.groupBy("read_id").agg(
+        F.count("*").alias("n"),
+        F.min("key").alias("low"),
+        F.max("key").alias("high"),
+        F.sum(F.col("key") % 1000003).alias("checksum"),
+    )
+
+
+@_query("kmers", _with(_WORD_SQL, _KEY_SUMMARY))
 def _kmers(spark, sf_dir):
     words = F.flatten(F.transform(F.flatten("mates"), lambda run: dna.kmers_of(run, K)))
-    return _reads(spark, sf_dir).select("read_id", words.alias("w")).select(
-        "read_id",
-        F.size("w").cast("bigint").alias("n"),
-        F.array_min("w").alias("first_kmer"),
-        F.array_max("w").alias("last_kmer"),
-    )
+    every = _reads(spark, sf_dir).select("read_id", F.explode(words).alias("word"))
+    return _key_summary(every.select("read_id", dna.kmer_key("word").alias("key")))
 
 
 @_query(
     "read_kmers",
     _with(
         _KMERS_SQL,
-        """select read_id, cast(count(*) as bigint) as n, min(kmer) as first_kmer, max(kmer) as last_kmer
+        """select read_id, cast(count(*) as bigint) as n, min(kmer) as first_kmer, max(kmer) as last_kmer,
+                  md5(string_agg(kmer, ',' order by kmer)) as digest
            from read_kmers group by read_id""",
     ),
 )
 def _read_kmers(spark, sf_dir):
     return kmers.read_kmers(_reads(spark, sf_dir), K).groupBy("read_id").agg(
-        F.count("*").alias("n"), F.min("kmer").alias("first_kmer"), F.max("kmer").alias("last_kmer")
-    )
-
-
-_KEY_SQL = _KMERS_SQL + """,
-keyed as (select read_id, list_reduce(
-            list_transform(string_split(translate(kmer, 'ACGT', '0123'), ''), lambda d: cast(d as bigint)),
-            lambda a, d: a * 4 + d) as key from read_kmers)"""
-_KEY_SUMMARY = """select read_id, cast(count(*) as bigint) as n, min(key) as low, max(key) as high,
-                         cast(sum(key % 1000003) as bigint) as checksum from keyed group by read_id"""
-
-
-def _key_summary(keyed: DataFrame) -> DataFrame:
-    return keyed.groupBy("read_id").agg(
         F.count("*").alias("n"),
-        F.min("key").alias("low"),
-        F.max("key").alias("high"),
-        F.sum(F.col("key") % 1000003).alias("checksum"),
+        F.min("kmer").alias("first_kmer"),
+        F.max("kmer").alias("last_kmer"),
+        F.md5(F.array_join(F.sort_array(F.collect_list("kmer")), ",").cast("binary")).alias("digest"),
     )
 
 
