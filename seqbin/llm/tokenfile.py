@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from seqbin.llm.pretokens import ODD, splitter
+from seqbin.llm.pretokens import ODD, Remembered, splitter
 from seqbin.staging import stage_path
 
 CHUNK = 8
@@ -118,46 +118,28 @@ class LibraryEncoder:
 
     Texts of plain characters are cut into pre-tokens here, by the byte-level
     pattern, and every new pre-token goes through the library; its ids are
-    remembered, in two generations of about ``remember`` entries. A text with any other character goes through the library whole,
+    remembered. A text with any other character goes through the library whole,
     so that the library's own character classes decide. Strings of special tokens
     are ordinary text.
     """
 
     def __init__(self, tokenizer_path: str, remember: int = REMEMBER):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(tokenizer_path)
-        self.library.encode_special_tokens = True
-        self.remember = remember
+        library = Tokenizer.from_file(tokenizer_path)
+        library.encode_special_tokens = True
+        self.library = library
         self.cut = splitter(public_tokenizers.PATTERN)
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        found = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of every text."""
-        plain = [ODD.search(t) is None for t in texts]
-        cut = [self.cut(t) if ok else () for t, ok in zip(texts, plain, strict=True)]
-        whole = iter(self._whole([t for t, ok in zip(texts, plain, strict=True) if not ok]))
-        pieces = set().union(*cut)
-        missing = pieces.difference(self.known)
-        if len(self.known) + len(missing) > self.remember:
-            self.older, self.known = self.known, {}
-            missing = pieces
-        known, older = self.known, self.older
-        again = missing.intersection(older)
-        known.update((p, older[p]) for p in again)
-        fresh = list(missing - again)
-        known.update(zip(fresh, self._whole(fresh), strict=True))
-        return [
-            b"".join(map(known.__getitem__, one)) if ok else next(whole) for one, ok in zip(cut, plain, strict=True)
-        ]
+        self.known = Remembered(self._whole, remember)
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def encode(self, text: str) -> bytes:
+        """Little-endian 32-bit ids."""
+        if ODD.search(text):
+            return self._whole(text)
+        return b"".join(map(self.known.__getitem__, self.cut(text)))
 
 
 _encoders: dict[str, LibraryEncoder] = {}
@@ -205,17 +187,15 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
         for batch in batches:
             if batch.num_rows:
                 part = batch.column(2)[0].as_py()
-            for at in range(0, batch.num_rows, 64):
-                some = batch.slice(at, 64)
-                encoded = encoder.encode(some.column(1).to_pylist())
-                for doc_id, ids in zip(some.column(0).to_pylist(), encoded, strict=True):
-                    doc_ids.append(doc_id)
-                    bodies.append(ids + end)
-                    total += len(ids) // 4 + 1
-                    if total >= SEGMENT_IDS:
-                        yield segment()
-                        number += 1
-                        doc_ids, bodies, total = [], [], 0
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids = encoder.encode(text.as_py())
+                doc_ids.append(doc_id)
+                bodies.append(ids + end)
+                total += len(ids) // 4 + 1
+                if total >= SEGMENT_IDS:
+                    yield segment()
+                    number += 1
+                    doc_ids, bodies, total = [], [], 0
         if doc_ids:
             yield segment()
 
