@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding with a bitmap queue over merge ranks.
 
 Within a pre-token the byte pieces form a linked list. Every pair that can merge
-is filed under its rank; a hierarchical bitmap (256-bit words, one summary bit per
-word on each level) tells by find-first-set which rank comes next. A bucket holds
+is filed under its rank; a hierarchical bitmap (256-bit words below, one summary bit
+per word above) tells by find-first-set which rank comes next. A bucket holds
 list positions in order; entries whose pair has changed since are stale and
 skipped. One merge costs a constant number of bitmap steps, so a pre-token of n
 bytes takes O(n) queue operations instead of n passes over it.
@@ -18,69 +18,29 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: pre-tokens a Python worker remembers (about 250 bytes each); emptied when full
+from seqbin.llm.pretokens import Remembered, splitter
+
+#: pre-tokens of one generation of a Python worker's memory (about 230 bytes each, two generations)
 REMEMBER = 1_000_000
-#: longer pre-tokens are encoded anew each time
-REMEMBER_BYTES = 64
-#: bits of a bitmap word: two levels hold 65,536 ranks
+#: bits of a word of the lower bitmap level
 WORD_LOG = 8
 WORD = 1 << WORD_LOG
 WORD_MASK = WORD - 1
 _BIT = [1 << i for i in range(WORD)]
 
 
-class RankBitmap:
-    """A set of ranks below ``size`` with find-first-set over levels of WORD-bit words."""
-
-    __slots__ = ("levels",)
-
-    def __init__(self, size: int):
-        self.levels: list[list[int]] = []
-        while True:
-            size = (size + WORD - 1) >> WORD_LOG
-            self.levels.append([0] * max(size, 1))
-            if size <= 1:
-                break
-
-    def add(self, rank: int) -> None:
-        for level in self.levels:
-            word = rank >> WORD_LOG
-            old = level[word]
-            level[word] = old | _BIT[rank & WORD_MASK]
-            if old:
-                return
-            rank = word
-
-    def discard(self, rank: int) -> None:
-        for level in self.levels:
-            word = rank >> WORD_LOG
-            level[word] &= ~_BIT[rank & WORD_MASK]
-            if level[word]:
-                return
-            rank = word
-
-    def first(self) -> int:
-        """The smallest rank, or -1."""
-        if not self.levels[-1][0]:
-            return -1
-        at = 0
-        for level in reversed(self.levels):
-            word = level[at]
-            at = (at << WORD_LOG) | ((word & -word).bit_length() - 1)
-        return at
-
-
 class BytePairs:
     """Merge ranks of a vocabulary file, as encoder and decoder of byte strings."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {rank: piece for piece, rank in ranks.items()}
-        self.queue = RankBitmap(max(ranks.values(), default=0) + 1)
+        self.single = [ranks.get(bytes([b]), -1) for b in range(256)]
+        #: rank of every pair of bytes
+        self.double = [ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)]
 
     @classmethod
     def from_file(cls, path: str) -> BytePairs:
@@ -96,21 +56,32 @@ class BytePairs:
             return (whole,)
         n = len(piece)
         get = ranks.get
-        end = list(range(1, n + 2))  # end[i]: where the part that begins at i ends; 0 once merged away
+        end = list(range(1, n + 2))  # end[i]: where the part that begins at i ends
         before = list(range(-1, n))
-        pair = [get(piece[i : i + 2], -1) for i in range(n)]  # rank of part i with the next one
-        pair[n - 1] = -1
+        double = self.double
+        pair = [double[a << 8 | b] for a, b in zip(piece, piece[1:])]  # rank of part i with the next one
+        pair.append(-1)
+        ids = list(map(self.single.__getitem__, piece))  # id of part i: the rank of its last merge
         buckets: dict[int, list[int]] = {}
-        queue = self.queue
+        words: dict[int, int] = {}  # lower level of the bitmap: non-empty words only
+        top = 0  # upper level: one bit per word
         for i, rank in enumerate(pair):
             if rank >= 0:
                 if rank in buckets:
                     buckets[rank].append(i)
                 else:
                     buckets[rank] = [i]
-                    queue.add(rank)
+                    word = rank >> WORD_LOG
+                    if word in words:
+                        words[word] |= _BIT[rank & WORD_MASK]
+                    else:
+                        words[word] = _BIT[rank & WORD_MASK]
+                        top |= 1 << word
         # positions were filed in ascending order, so every bucket is a heap already
-        while (rank := queue.first()) >= 0:
+        while top:
+            word = (top & -top).bit_length() - 1
+            bits = words[word]
+            rank = (word << WORD_LOG) | ((bits & -bits).bit_length() - 1)
             bucket = buckets[rank]
             lower = False
             while bucket and not lower:
@@ -120,38 +91,39 @@ class BytePairs:
                 j = end[i]
                 k = end[i] = end[j]
                 pair[j] = -1
+                ids[i] = rank
                 left = before[i]
                 if k < n:
                     before[k] = i
-                    found = get(piece[i : end[k]], -1)
-                    pair[i] = found
-                    if found >= 0:
-                        lower = found < rank
-                        if found in buckets:
-                            heappush(buckets[found], i)
-                        else:
-                            buckets[found] = [i]
-                            queue.add(found)
+                    changed = (i, left) if left >= 0 else (i,)
                 else:
                     pair[i] = -1
-                if left >= 0:
-                    found = get(piece[left:k], -1)
-                    pair[left] = found
-                    if found >= 0:
-                        lower = lower or found < rank
-                        if found in buckets:
-                            heappush(buckets[found], left)
+                    changed = (left,) if left >= 0 else ()
+                for at in changed:
+                    found = pair[at] = get(piece[at : end[end[at]]], -1)
+                    if found < 0:
+                        continue
+                    lower = lower or found < rank
+                    if found in buckets:
+                        heappush(buckets[found], at)
+                    else:
+                        buckets[found] = [at]
+                        new = found >> WORD_LOG
+                        if new in words:
+                            words[new] |= _BIT[found & WORD_MASK]
                         else:
-                            buckets[found] = [left]
-                            queue.add(found)
+                            words[new] = _BIT[found & WORD_MASK]
+                            top |= 1 << new
             if not bucket:
                 del buckets[rank]
-                queue.discard(rank)
+                words[word] ^= _BIT[rank & WORD_MASK]
+                if not words[word]:
+                    del words[word]
+                    top ^= 1 << word
         out, i = [], 0
         while i < n:
-            k = end[i]
-            out.append(ranks[piece[i:k]])
-            i = k
+            out.append(ids[i])
+            i = end[i]
         return tuple(out)
 
     def decode(self, ids) -> bytes:
@@ -162,47 +134,36 @@ class TextEncoder:
     """Splits texts by a pattern and encodes each match, remembering short ones."""
 
     def __init__(self, pairs: BytePairs, pattern: str, remember: int = REMEMBER):
-        self.pairs, self.remember = pairs, remember
-        self.split = regex.compile(pattern).findall
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.pairs = pairs
+        self.split = splitter(pattern)
+        self.known = Remembered(lambda piece: pairs.encode_piece(piece.encode("utf-8")), remember)
         self.decimal = {i: b"%d" % i for i in pairs.bytes_of}
 
     def encode(self, text: str | None) -> list[int]:
-        pieces = self.split(text or "")
-        known, missing = self.known, set(pieces).difference(self.known)
-        if len(known) + len(missing) > self.remember:
-            known.clear()
-            missing = set(pieces)
-        long: dict[str, tuple[int, ...]] = {}
-        for piece in missing:
-            raw = piece.encode("utf-8")
-            ids = self.pairs.encode_piece(raw)
-            (known if len(raw) <= REMEMBER_BYTES and len(known) < self.remember else long)[piece] = ids
-        if not long:
-            return list(chain.from_iterable(map(known.__getitem__, pieces)))
-        return list(chain.from_iterable(known[p] if p in known else long[p] for p in pieces))
+        return list(chain.from_iterable(map(self.known.__getitem__, self.split(text or ""))))
 
 
-_encoders: dict[tuple[str, str], TextEncoder] = {}
+_encoders: dict[tuple[str, str, int], TextEncoder] = {}
 
 
-def _encoder(ranks_path: str, pattern: str) -> TextEncoder:
+def _encoder(ranks_path: str, pattern: str, remember: int) -> TextEncoder:
     """One encoder per Python worker: it serves the tasks that follow too."""
-    key = (ranks_path, pattern)
+    key = (ranks_path, pattern, remember)
     if key not in _encoders:
-        _encoders[key] = TextEncoder(BytePairs.from_file(ranks_path), pattern)
+        _encoders[key] = TextEncoder(BytePairs.from_file(ranks_path), pattern, remember)
     return _encoders[key]
 
 
-def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, remember: int = REMEMBER) -> DataFrame:
     """``(doc_id, n_tokens, ids, ids_sha256, decoded_sha256)`` per row of ``(doc_id, text)``.
 
-    Like :func:`encode_digests`, with the ids themselves.
+    Like :func:`encode_digests`, with the ids themselves. ``remember`` trades the
+    memory of the Python workers for time; the result does not depend on it.
     """
-    return _encoded(docs, ranks_path, pattern, keep_ids=True)
+    return _encoded(docs, ranks_path, pattern, remember, keep_ids=True)
 
 
-def encode_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+def encode_digests(docs: DataFrame, ranks_path: str, pattern: str, remember: int = REMEMBER) -> DataFrame:
     """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` per row of ``(doc_id, text)``.
 
     Digests are lowercase hex: of the decimal ids joined by commas, and of the
@@ -210,14 +171,14 @@ def encode_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     repeat a doc_id, and null ids, are encoded like any other. ``ranks_path`` must be
     readable on all executors (it comes with the tokenizer package).
     """
-    return _encoded(docs, ranks_path, pattern, keep_ids=False)
+    return _encoded(docs, ranks_path, pattern, remember, keep_ids=False)
 
 
-def _encoded(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: bool) -> DataFrame:
+def _encoded(docs: DataFrame, ranks_path: str, pattern: str, remember: int, keep_ids: bool) -> DataFrame:
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * keep_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(ranks_path, pattern)
+        encoder = _encoder(ranks_path, pattern, remember)
         sha, decimal = hashlib.sha256, encoder.decimal
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
