@@ -36,7 +36,7 @@ from seqbin.staging import stage
 
 CLASSES = 1 << 14
 STATES = 8
-ROUNDS = 3
+ROUNDS = 6
 PIECE = 64
 BLOCK_BYTES = 16 << 20
 #: block numbers leave so many bits for the place in the block's vocabulary
