@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,8 +39,8 @@ RANK_BITS = 512
 SEGMENT_IDS = 1 << 18
 #: pre-tokens of one generation of a worker's memory (about 150 bytes each)
 REMEMBER = 700_000
-#: characters of text per range partition of the writer
-PARTITION_CHARS = 24_000_000
+#: bytes of text per range partition of the writer
+PARTITION_BYTES = 24_000_000
 
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
@@ -113,6 +114,20 @@ class Segment:
         return out
 
 
+def _byte_alphabet() -> dict[int, str]:
+    """The characters that stand for bytes in byte-level vocabularies.
+
+    Printable Latin-1 characters stand for themselves, the other bytes for the
+    characters from 256 on.
+    """
+    printable = {b for b in range(33, 256) if b not in range(127, 161) and b != 173}
+    others = iter(range(256, 512))
+    return {b: chr(b if b in printable else next(others)) for b in range(256)}
+
+
+_BYTE_ALPHABET = _byte_alphabet()
+
+
 class LibraryEncoder:
     """Ids of texts by the tokenizers library, each distinct pre-token encoded once.
 
@@ -128,13 +143,17 @@ class LibraryEncoder:
 
         library = Tokenizer.from_file(tokenizer_path)
         library.encode_special_tokens = True
-        self.library = library
+        self.library, self.merge = library, library.model.tokenize
         self.cut = splitter(public_tokenizers.PATTERN)
-        self.known = Remembered(self._whole, remember)
+        self.known = Remembered(self._piece, remember)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _piece(self, piece: str) -> bytes:
+        """A pre-token goes straight to the library's model, in its byte alphabet."""
+        return array("I", [t.id for t in self.merge(piece.encode().decode("latin-1").translate(_BYTE_ALPHABET))]).tobytes()
+
     def encode(self, text: str) -> bytes:
         """Little-endian 32-bit ids."""
         if ODD.search(text):
@@ -162,8 +181,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     rows = docs.filter("doc_id is not null").select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     )
-    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    parts = max(rows.sparkSession.sparkContext.defaultParallelism, -(-chars // PARTITION_CHARS))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, -(-size // PARTITION_BYTES))
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
