@@ -39,6 +39,8 @@ STATES = 8
 ROUNDS = 6
 PIECE = 64
 BLOCK_BYTES = 16 << 20
+#: words of a block that one training step holds in memory
+PART_WORDS = 300_000
 #: block numbers leave so many bits for the place in the block's vocabulary
 PLACE_BITS = 25
 #: weight of the corpus-wide class shares in every state's emissions
@@ -135,6 +137,16 @@ def word_entries(blocks: DataFrame) -> DataFrame:
     return blocks.select("block", "words", "train").mapInArrow(run, "word long, slot long, n long")
 
 
+def _parts(triples: np.ndarray, classes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The texts of a block by PART_WORDS words: what is worked on at once."""
+    ends = np.concatenate(([0], np.cumsum(triples[:, 1])))
+    at = 0
+    while at < len(triples):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + PART_WORDS, "right")) - 1)
+        yield triples[at:to], classes[ends[at] : ends[to]]
+        at = to
+
+
 def _pieces(triples: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """``(PIECE, n)`` class numbers of training text with ends, -1 past a piece; and first-piece flags."""
     lengths = triples[:, 1] + 1
@@ -234,11 +246,11 @@ def baum_welch(blocks: DataFrame, model: Model, class_counts: np.ndarray) -> Mod
         start, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros((CLASSES + 1, states))
         for batch in batches:
             for i in range(batch.num_rows):
-                triples, classes = _block_classes(batch, i)
-                table, first = _pieces(triples, classes)
-                if table.shape[1]:
-                    a, b, c, _ = expected_counts(model, table, first)
-                    start, move, emit = start + a, move + b, emit + c
+                for triples, classes in _parts(*_block_classes(batch, i)):
+                    table, first = _pieces(triples, classes)
+                    if table.shape[1]:
+                        a, b, c, _ = expected_counts(model, table, first)
+                        start, move, emit = start + a, move + b, emit + c
         rows = np.concatenate([start[None], move, emit])
         numbers = np.concatenate([np.arange(-1 - states, 0), np.arange(CLASSES + 1)])
         some = np.abs(rows).sum(axis=1) > 0
