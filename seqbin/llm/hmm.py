@@ -110,6 +110,7 @@ def pack_blocks(docs: DataFrame, modulus: int = 7, held_out: int = 2) -> DataFra
                     yield flush()
                     number += 1
                     index, head, bodies, size = {}, [], [], 0
+            pa.default_memory_pool().release_unused()
         if head:
             yield flush()
 
@@ -251,6 +252,7 @@ def baum_welch(blocks: DataFrame, model: Model, class_counts: np.ndarray) -> Mod
                     if table.shape[1]:
                         a, b, c, _ = expected_counts(model, table, first)
                         start, move, emit = start + a, move + b, emit + c
+            pa.default_memory_pool().release_unused()
         rows = np.concatenate([start[None], move, emit])
         numbers = np.concatenate([np.arange(-1 - states, 0), np.arange(CLASSES + 1)])
         some = np.abs(rows).sum(axis=1) > 0
