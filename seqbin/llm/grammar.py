@@ -3,8 +3,9 @@
 Five small machines are composed into one table: insult and threat words, their
 target, negation, and reported speech. A word is read as one symbol; the state
 remembers how recently a negation, a reporting word and a target were seen, and
-every insult or threat pays its weight, changed by that state. A clause (text
-between sentence marks) scores the sum of its payments; words alone do not.
+every insult or threat pays its weight, changed by that state. A threat without a
+target before it waits for one and pays when it comes. A clause (text between
+sentence marks) scores the sum of its payments; words alone do not.
 
 Insult words are learned: a word, or a stem (the first letters of words), is
 taken up if it occurs in significantly more toxic than other training documents.
@@ -40,8 +41,6 @@ NEGATION_REACH, TARGET_REACH, REPORT_REACH = 3, 4, 6
 STEMS = range(2, 8)
 #: documents of the fit; the smallest by hash of doc_id are taken, so every run takes the same
 SAMPLE_ROWS = 20_000
-#: learned words and stems that are kept, by significance
-MAX_ENTRIES = 2_000
 #: log-likelihood ratio an entry needs
 SIGNIFICANT = 18.0
 
@@ -58,40 +57,44 @@ class Grammar:
     weights: tuple[float, ...] = (-3.0, 1.0, -0.5, 0.2, 1.2, 0.8, 1.0, 2.0)
 
 
-def _transitions() -> tuple[np.ndarray, np.ndarray]:
-    """``(next state, payment class)`` of the composed machine, by state and symbol.
+def _transitions() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(next state, payment class, payments)`` of the composed machine, by state and symbol.
 
-    A state is the product of three counters: words left for which a negation, a
-    report and a target hold. Payment classes: 0 none, 1 plain, 2 negated,
-    3 reported, 4 targeted, 5 threat.
+    A state is the product of three counters, words left for which a negation, a
+    report and a target hold, and one bit for each of the last ``TARGET_REACH`` words,
+    set for a threat that waits for its target. A target pays all that wait; a
+    negation or report in between counts as before the threat. Payment classes:
+    0 none, 1 plain, 2 negated, 3 reported, 4 targeted, 5 threat.
     """
-    shape = (NEGATION_REACH + 1, REPORT_REACH + 1, TARGET_REACH + 1)
+    waiting = 1 << TARGET_REACH
+    shape = (NEGATION_REACH + 1, REPORT_REACH + 1, TARGET_REACH + 1, waiting)
     states = int(np.prod(shape))
-    follow, pay = np.zeros((states, 6), np.int16), np.zeros((states, 6), np.int8)
+    follow, pay, times = (np.zeros((states, 6), kind) for kind in (np.int16, np.int8, np.int8))
     for state in range(states):
-        neg, rep, tar = np.unravel_index(state, shape)
+        neg, rep, tar, wait = np.unravel_index(state, shape)
         for symbol in range(6):
-            later = [max(neg - 1, 0), max(rep - 1, 0), max(tar - 1, 0)]
+            later = [max(neg - 1, 0), max(rep - 1, 0), max(tar - 1, 0), (wait << 1) % waiting]
+            changed = 2 if neg else 3 if rep else 0
             if symbol == NEGATE:
                 later[0] = NEGATION_REACH
             elif symbol == REPORTED:
                 later[1] = REPORT_REACH
             elif symbol == TARGETED:
-                later[2] = TARGET_REACH
-            elif symbol in (INSULT, THREATEN):
-                if neg:
-                    pay[state, symbol] = 2
-                elif rep:
-                    pay[state, symbol] = 3
-                elif symbol == THREATEN:
-                    pay[state, symbol] = 5 if tar else 0
+                later[2:] = TARGET_REACH, 0
+                if wait:
+                    pay[state, symbol], times[state, symbol] = changed or 5, int(wait).bit_count()
+            elif symbol == INSULT:
+                pay[state, symbol], times[state, symbol] = changed or (4 if tar else 1), 1
+            elif symbol == THREATEN:
+                if changed or tar:
+                    pay[state, symbol], times[state, symbol] = changed or 5, 1
                 else:
-                    pay[state, symbol] = 4 if tar else 1
+                    later[3] |= 1
             follow[state, symbol] = np.ravel_multi_index(later, shape)
-    return follow, pay
+    return follow, pay, times
 
 
-_FOLLOW, _PAY = (table.tolist() for table in _transitions())
+_FOLLOW, _PAY, _TIMES = (table.tolist() for table in _transitions())
 _CLOSED = (
     dict.fromkeys(THREAT, THREATEN)
     | dict.fromkeys(TARGET, TARGETED)
@@ -143,8 +146,9 @@ class Scorer:
             for kind, weight in clause:
                 pay = _PAY[state][kind]
                 if pay:
-                    sums[pay] += weight
-                    hits += pay in (1, 4, 5)
+                    times = _TIMES[state][kind]
+                    sums[pay] += weight * times
+                    hits += times * (pay in (1, 4, 5))
                 state = _FOLLOW[state][kind]
             return hits
 
@@ -258,12 +262,11 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
         term(k1, share * pos) + term(k2, share * neg)
         + term(pos - k1, (1 - share) * pos) + term(neg - k2, (1 - share) * neg)
     )
+    # all of them: the sample bounds the table, and stems are pruned only when none is missing
     best = (
-        counted.filter(k1 + k2 < total)
-        .withColumn("ratio", ratio)
-        .filter(F.col("ratio") >= SIGNIFICANT)
-        .orderBy(F.desc("ratio"), "feature")
-        .limit(MAX_ENTRIES)
+        counted.filter((k1 + k2 < total) & (k1 >= k2))
+        .filter(ratio >= SIGNIFICANT)
+        .select("feature", "pos", "neg")
         .collect()
     )
     words, stems = _lexicon([(r.feature, r.pos, r.neg) for r in best], pos, neg)

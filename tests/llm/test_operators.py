@@ -419,6 +419,29 @@ def test_grammar_states():
     assert scorer.score("You fool!") > 0.5 > scorer.score("Not a fool at all.")
 
 
+def test_threat_before_its_target():
+    scorer = grammar.Scorer(grammar.Grammar())
+
+    def threats(text):
+        return round(math.expm1(scorer.features(text)[5]))
+
+    assert threats("I will kill you") == threats("we will hurt them") == threats("you, I will hurt") == 1
+    assert threats("I will beat and kill you and him") == 2  # both wait for one target, and are paid once
+    assert threats("kill all of the people") == 1 and threats("kill one two three four you") == 0
+    assert threats("I will kill. You see") == threats("kill time") == threats("never kill you") == 0
+    assert threats("kill none, not you") == 0 and scorer.features("kill none, not you")[2] > 0
+
+
+def test_no_learned_entry_is_cut(spark):
+    common = ["".join("bcdfghjklm"[int(d)] + v for d, v in zip(f"{i:03}", "aei", strict=True)) for i in range(1000)]
+    texts = [" ".join(common) + (f" zonk{'abcdefghijklmnopqrstuvwxyz'[i % 26]}{i % 7}" if i < 30 else "") for i in range(50)]
+    texts += [f"plain text {i}" for i in range(50)]
+    labels = spark.createDataFrame([(i, int(i < 50)) for i in range(100)], "doc_id long, toxic int")
+    scorer = grammar.Scorer(grammar.train(_docs(spark, texts), labels))
+    assert all(scorer.symbol(w)[0] == grammar.INSULT for w in common)
+    assert scorer.symbol("zonkother")[0] == grammar.INSULT  # less significant than over 2,000 others
+
+
 def test_toxicity_learns_words_and_stems(spark):
     rng = random.Random(11)
     plain = ["".join(rng.choice("bcdfg") + rng.choice("aeiou") for _ in range(rng.randrange(1, 4))) for _ in range(300)]
