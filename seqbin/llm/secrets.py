@@ -38,14 +38,14 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "token", "user", "endpoint")
 
-# the weak kinds
-TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,128}={0,2}(?![A-Za-z0-9+/_=-])")
+# the weak kinds, of any length; a host has labels of at most 63 characters and at most 127 of them
+TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
 USER = re.compile(
-    r"""(?<![A-Za-z0-9])(?:user(?:name|_?id)?|login|client_?id|account)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,64}""",
+    r"""(?<![A-Za-z0-9])(?:user(?:name|_?id)?|login|client_?id|account)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,}""",
     re.ASCII | re.IGNORECASE,
 )
 ENDPOINT = re.compile(
-    r"(?<![A-Za-z0-9])(?:https?://[A-Za-z0-9._~:/?#@!$&()*+,;=%-]{4,256}|(?:[a-z0-9-]{1,63}\.){2,8}(?:com|net|org|io|internal)(?![A-Za-z0-9]))"
+    r"(?<![A-Za-z0-9])(?:https?://[A-Za-z0-9._~:/?#@!$&()*+,;=%-]{4,}|(?:[a-z0-9-]{1,63}\.){2,126}(?:com|net|org|io|internal)(?![A-Za-z0-9]))"
 )
 
 

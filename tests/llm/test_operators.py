@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -217,6 +218,26 @@ def test_secret_linking(spark):
     assert texts[0][int(start) : int(end)] == secret
 
 
+def test_long_weak_parts_are_whole(spark):
+    key, token = "AKIA" + "Q7" * 8, "aB3_" * 500 + "=="
+    user, url = "login=" + "u.x@" * 50, "https://s3.example.com/" + "p/q" * 200
+    host = "a-1." * 20 + "internal"
+    text = f"{key} {token} {user} {url} {host}"
+    (row,) = secrets.find_secrets(_docs(spark, [text])).collect()
+    found = [(k, text[int(a) : int(b)]) for k, a, b in (s.split(":") for s in row.spans.split(","))]
+    # the key is too far from user, url and host, but the token reaches from it to the user
+    assert found[:3] == [("access", key), ("token", token), ("user", user)]
+    weak = {text[a:b] for a, _, b in secrets.weak_spans(text)}
+    assert {token, user, url, host} <= weak
+
+
+def test_weak_patterns_take_linear_time():
+    for text in ("aB3" * 300_000 + "===", "login=" + "u" * 1_000_000, "https://" + "/a" * 500_000, "a." * 100_000):
+        start = time.perf_counter()
+        secrets.weak_spans(text)
+        assert time.perf_counter() - start < 20
+
+
 def test_linking_equals_brute_force(spark):
     rng = random.Random(4)
     spans = []
