@@ -9,12 +9,16 @@ both numerators and the precision denominator, but stay in that of the recall.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqbin.operators.clusters import UNASSIGNED
 
 CONVENTIONS = ("label_max", "cluster_max")
+#: columns a wide matrix may get from the labels of a table
+MOST_LABELS = 1_000
 
 
 def confusion_long(labels: DataFrame) -> DataFrame:
@@ -22,13 +26,37 @@ def confusion_long(labels: DataFrame) -> DataFrame:
     return labels.groupBy("label", "predict").agg(F.count("*").alias("n"))
 
 
-def confusion_matrix(labels: DataFrame, values: list[str]) -> DataFrame:
+def label_values(labels: DataFrame, first: Iterable[str] = (), most: int = MOST_LABELS) -> list[str | None]:
+    """The labels of ``first``, then all others of the table in ascending order, null last.
+
+    More than ``most`` labels in the table are an error: none is left out.
+    """
+    found = {r.label for r in labels.select("label").distinct().limit(most + 1).collect()}
+    if len(found) > most:
+        raise ValueError(f"more than {most} labels: too many for a wide matrix")
+    values = list(dict.fromkeys(first))
+    return values + sorted(found - {*values, None}) + [None] * (None in found)
+
+
+def confusion_matrix(labels: DataFrame, values: list[str | None]) -> DataFrame:
     """One row per predict, one column per label of ``values``, 0 where a pair is absent.
 
-    Labels that are not listed are left out; the width is the caller's choice.
+    Labels that are not listed are left out; the width is the caller's choice
+    (:func:`label_values` lists them all). A listed null gets the column ``null``, with
+    underscores behind it if a label has that name.
     """
-    wide = confusion_long(labels).groupBy("predict").pivot("label", values).agg(F.sum("n"))
-    return wide.fillna(0)
+    names = [value for value in values if value is not None]
+    if "predict" in map(str.lower, names):
+        raise ValueError("a label has the name of the column predict")
+    counts = confusion_long(labels)
+    if None in values:
+        null = "null"
+        while null in map(str.lower, names):
+            null += "_"
+        # a label that is not listed must not pass for the null
+        shown = F.when(F.col("label").isNull(), null).when(F.col("label").isin(names), F.col("label"))
+        counts, names = counts.withColumn("label", shown), [*names, null]
+    return counts.groupBy("predict").pivot("label", names).agg(F.sum("n")).fillna(0)
 
 
 def binning_metrics(
@@ -67,7 +95,7 @@ def metrics_from_matrix(
 ) -> DataFrame:
     """:func:`binning_metrics` from a :func:`confusion_matrix`; null scores for an empty one."""
     names = [name for name in matrix.columns if name != "predict"]
-    cells = [F.struct(F.lit(name).alias("label"), F.col(f"`{name}`").cast("bigint").alias("n")) for name in names]
+    cells = [F.struct(F.lit(name).alias("label"), F.col(f"`{name.replace('`', '``')}`").cast("bigint").alias("n")) for name in names]
     none = F.array().cast("array<struct<label:string,n:bigint>>")
     long = matrix.select("predict", F.inline(F.array(*cells) if cells else none))
     return _metrics_of_counts(long, discard, convention)

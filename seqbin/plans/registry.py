@@ -683,7 +683,9 @@ _LABEL_COLUMNS = ",\n".join(
 
 @_query("confusion_matrix", _with(_LABELS_SQL, f"select predict, {_LABEL_COLUMNS} from labels_t group by predict"))
 def _confusion_matrix(spark, sf_dir):
-    return metrics.confusion_matrix(_labels(spark, sf_dir), _LABEL_VALUES)
+    """The columns of the SQL, and one more for every other label of the table."""
+    labels = _labels(spark, sf_dir)
+    return metrics.confusion_matrix(labels, metrics.label_values(labels, _LABEL_VALUES))
 
 
 def _metrics_sql(discard: bool, convention: str) -> str:
@@ -717,7 +719,7 @@ def _register_metrics() -> None:
                 return _rounded(metrics.binning_metrics(_labels(spark, sf_dir), discard, convention))
 
             def matrix_form(spark, sf_dir, discard=discard, convention=convention):
-                matrix = metrics.confusion_matrix(_labels(spark, sf_dir), _LABEL_VALUES)
+                matrix = _confusion_matrix(spark, sf_dir)
                 return _rounded(metrics.metrics_from_matrix(matrix, discard, convention))
 
             _query(f"binning_metrics_{suffix}", sql)(long_form)

@@ -7,11 +7,13 @@ from seqbin.operators.clusters import cluster_groups, label_groups, label_reads
 from seqbin.operators.metrics import (
     binning_metrics,
     confusion_matrix,
+    label_values,
     metrics_from_matrix,
 )
 from seqbin.operators.results import cluster_summary, in_result_order, results
 from seqbin.operators.stats import stage_stats
 from seqbin.operators.vectors import frequency_vectors
+from seqbin.plans import registry
 from seqbin.sinks.results import write_cluster_fasta, write_labels, write_summary
 from seqbin.sinks.tables import write_edges, write_kmer_index, write_vectors
 from seqbin.sources.tables import read_edges, read_kmer_index, read_vectors
@@ -133,3 +135,25 @@ def test_stage_stats(spark):
     index = spark.createDataFrame([("A", [1]), ("A", [2]), ("C", [1])], "kmer string, adjacency array<bigint>")
     rows = {r.stage: r.n for r in stage_stats(reads, index, reads, reads).collect()}
     assert rows == {"reads": 3, "kmers": 2, "vertices": 3, "edges": 3}
+
+
+@pytest.mark.parametrize("name", ["confusion_matrix", "binning_metrics_matrix_cluster_max_all"])
+def test_queries_count_every_label(spark, monkeypatch, name):
+    rows = [("src0", 0), ("src0", 1), ("src20", 0), ("src20", 0), ("new.one", 1), ("null", 1), (None, 1), (None, 2), ("SRC", -1)]
+    labels = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "read_id long, label string, predict int")
+    monkeypatch.setattr(registry, "_labels", lambda spark, sf_dir: labels)
+    got = registry.QUERIES[name](spark, "")
+    if name == "confusion_matrix":
+        assert got.columns == ["predict", *(f"src{i}" for i in range(20)), "SRC", "new.one", "null", "src20", "null_"]
+        assert sum(sum(r[1:]) for r in got.collect()) == len(rows)
+        assert {r["predict"]: r["null_"] for r in got.collect()} == {-1: 0, 0: 0, 1: 1, 2: 1}
+    else:
+        want = binning_metrics(labels, False, "cluster_max").first()
+        assert tuple(got.first()) == tuple(round(x, 9) for x in want)
+
+
+def test_too_many_labels_are_an_error(spark):
+    labels = spark.createDataFrame([(i, f"l{i}", 0) for i in range(5)], "read_id long, label string, predict int")
+    assert label_values(labels, most=5) == [f"l{i}" for i in range(5)]
+    with pytest.raises(ValueError, match="more than 4 labels"):
+        label_values(labels, most=4)
