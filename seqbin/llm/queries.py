@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from seqbin.llm import bpe, decontaminate, grammar, hmm, lines, minhash, secrets, tokenfile, topk, warc
+from seqbin.llm import bpe, decontaminate, grammar, hmm, lines, merkle, minhash, secrets, tokenfile, topk, warc
 from seqbin.staging import stage_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,3 +85,8 @@ def _toxicity(spark, sf_dir):
 @_query("op10_line_spread", lines.ORACLE)
 def _line_spread(spark, sf_dir):
     return lines.line_report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+@_query("op13_merkle_manifest")
+def _manifest(spark, sf_dir):
+    return merkle.manifest_proofs(spark.read.parquet(f"{sf_dir}/documents.parquet"))
