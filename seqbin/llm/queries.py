@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from seqbin.llm import bpe, decontaminate, grammar, hmm, lines, merkle, minhash, runs, secrets, tokenfile, topk, warc
+from seqbin.llm import bpe, decontaminate, grammar, hmm, lines, merkle, minhash, personal, runs, secrets, tokenfile, topk, warc
 from seqbin.staging import stage_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -92,6 +92,11 @@ def _periodic_runs(spark, sf_dir):
     return runs.periodic_runs(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+@_query("op12_weak_supervision_pii")
+def _personal(spark, sf_dir):
+    return personal.find_personal(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 @_query("op13_merkle_manifest")
 def _manifest(spark, sf_dir):
     return merkle.manifest_proofs(spark.read.parquet(f"{sf_dir}/documents.parquet"))
