@@ -53,31 +53,42 @@ def with_dense_index(df: DataFrame, order: list, name: str = "index") -> DataFra
 
 
 def with_group_position(
-    df: DataFrame, keys: list[str], order: list, start: str = "start", position: str = "position", total: str = "total"
+    df: DataFrame,
+    keys: list[str],
+    order: list,
+    start: str = "start",
+    position: str = "position",
+    total: str = "total",
+    ranges: tuple[str, ...] = (),
 ) -> DataFrame:
     """Number the rows of each key, without a join or a window on the key alone.
 
     Rows are ordered by ``keys`` and then ``order``, which together must be a total
     order. ``start`` is the dense number, over all rows, of the first row of the key (so
     it tells keys apart and keeps their order), ``position`` counts from 0 inside the
-    key and ``total`` is the number of its rows. Null is a key like any other.
+    key and ``total`` is the number of its rows. Null is a key like any other. For each
+    column in ``ranges`` its least and greatest value in the key are added, as ``<c>_min``
+    and ``<c>_max``.
 
     A key that holds most rows fills many range partitions. Its totals come from one row
     per partition and key, and go back to the rows by partition *and* key, so no task
     gets more rows than a range partition has.
     """
     rows = _placed(df, [*keys, *order])
+    inner = [f(c).alias(f"{c}_{n}") for c in ranges for n, f in (("min", F.min), ("max", F.max))]
+    outer = [f(f"{c}_{n}").alias(f"{c}_{n}") for c in ranges for n, f in (("min", F.min), ("max", F.max))]
+    added = [f"{c}_{n}" for c in ranges for n in ("min", "max")]
     runs = stage(
-        rows.groupBy("_block", *keys).agg(F.min("_position").alias("_low"), F.count("*").alias("_rows")), "runs"
+        rows.groupBy("_block", *keys).agg(F.min("_position").alias("_low"), F.count("*").alias("_rows"), *inner), "runs"
     )
     starts = _block_starts(runs.groupBy("_block").agg(F.sum("_rows").alias("_rows")))
     runs = runs.join(F.broadcast(starts), "_block").withColumn("_low", F.col("_low") + F.col("_start"))
-    ends = runs.groupBy(*keys).agg(F.min("_low").alias(start), F.sum("_rows").alias(total))
+    ends = runs.groupBy(*keys).agg(F.min("_low").alias(start), F.sum("_rows").alias(total), *outer)
     named = [F.col(k).alias(f"_of_{k}") for k in keys]
-    ends = ends.select(*named, start, total)
+    ends = ends.select(*named, start, total, *added)
     same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys))
-    of_run = runs.join(ends, same).select(F.col("_block").alias("_in"), *named, "_start", start, total)
+    of_run = runs.drop(*added).join(ends, same).select(F.col("_block").alias("_in"), *named, "_start", start, total, *added)
     found = rows.join(of_run, (F.col("_block") == F.col("_in")) & same)
     return found.select(
-        *df.columns, start, (F.col("_start") + F.col("_position") - F.col(start)).alias(position), total
+        *df.columns, start, (F.col("_start") + F.col("_position") - F.col(start)).alias(position), total, *added
     )

@@ -81,12 +81,12 @@ def link_next(link: Column) -> Column:
     return link.bitwiseAND(F.lit(7))
 
 
-def _pack_batches(
-    batches: Iterator[pa.RecordBatch], k: int, carry: str | None
-) -> Iterator[pa.RecordBatch]:
+def run_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """``(batch, chars, run_at, row)`` of ``(read_id, runs)`` batches, whole rows of about ``_CHUNK_BASES``.
+
+    Run i is ``chars[run_at[i]:run_at[i + 1]]`` and belongs to row ``row[i]`` of the batch.
+    """
     for batch in batches:
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
-        carried = None if carry is None else batch.column(2).to_numpy(zero_copy_only=False)
         runs = batch.column(1)
         row_at = np.asarray(runs.offsets)
         text = runs.values
@@ -95,24 +95,29 @@ def _pack_batches(
         char_at = np.frombuffer(text.buffers()[1], dtype=width)[text.offset : text.offset + len(text) + 1]
         row_chars = char_at[row_at].astype(np.int64)
         first = 0
-        while first < len(ids):
+        while first < batch.num_rows:
             # whole rows up to the chunk size, at least one
             last = int(np.searchsorted(row_chars, row_chars[first] + _CHUNK_BASES, side="right")) - 1
-            last = min(max(last, first + 1), len(ids))
+            last = min(max(last, first + 1), batch.num_rows)
             spans = char_at[row_at[first] : row_at[last] + 1].astype(np.int64)
             row = np.repeat(np.arange(first, last), np.diff(row_at[first : last + 1]))
-            row, key, link = _pack_chunk(chars[spans[0] : spans[-1]], spans - spans[0], row, k)
-            columns = {"read_id": ids[row], "kmer": key, "link": link}
-            if carry is not None:
-                columns[carry] = carried[row]
-            yield pa.RecordBatch.from_pydict({name: pa.array(x, pa.int64()) for name, x in columns.items()})
+            yield batch, chars[spans[0] : spans[-1]], spans - spans[0], row
             first = last
 
 
-def _pack_chunk(
-    chars: np.ndarray, run_at: np.ndarray, run_read: np.ndarray, k: int
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Read, key and link of every distinct k-mer; run i is chars[run_at[i]:run_at[i + 1]]."""
+def _pack_batches(
+    batches: Iterator[pa.RecordBatch], k: int, carry: str | None
+) -> Iterator[pa.RecordBatch]:
+    for batch, chars, run_at, row in run_chunks(batches):
+        row, key, link = _pack_chunk(chars, run_at, row, k)
+        columns = {"read_id": batch.column(0).to_numpy(zero_copy_only=False)[row], "kmer": key, "link": link}
+        if carry is not None:
+            columns[carry] = batch.column(2).to_numpy(zero_copy_only=False)[row]
+        yield pa.RecordBatch.from_pydict({name: pa.array(x, pa.int64()) for name, x in columns.items()})
+
+
+def chunk_keys(chars: np.ndarray, run_at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Two-bit codes of all bases, and place, run and packed key of every k-mer."""
     # fixed values: two-bit codes of the bases A, C, G, T
     code = np.zeros(256, np.int64)
     code[np.frombuffer(b"ACGT", np.uint8)] = (0, 1, 2, 3)
@@ -124,7 +129,15 @@ def _pack_chunk(
     total = int(per_run.sum())
     run_of = np.repeat(np.arange(len(per_run)), per_run)
     at = np.arange(total) + np.repeat(run_at[:-1] - (np.cumsum(per_run) - per_run), per_run)
-    key, read = keys[at], run_read[run_of]
+    return base, at, run_of, keys[at]
+
+
+def _pack_chunk(
+    chars: np.ndarray, run_at: np.ndarray, run_read: np.ndarray, k: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Read, key and link of every distinct k-mer; run i is chars[run_at[i]:run_at[i + 1]]."""
+    base, at, run_of, key = chunk_keys(chars, run_at, k)
+    read, total = run_read[run_of], len(at)
 
     # keep the first place of each k-mer in its read, in reading order
     order = np.lexsort((key, read))

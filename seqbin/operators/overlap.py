@@ -72,12 +72,12 @@ def overlap_edges(
 
     several = tokens.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1").select(*keys)
     shared = tokens.join(several, keys, "left_semi")
-    marked = stage(_ignore_hottest(shared, hot, m), "marked-kmers")
+    marked = stage(ignore_hottest(shared, hot, m), "marked-kmers")
     kept = marked.filter(~F.col("ignored"))
     cold = _shared(kept.filter(F.col("n_est").isNull()), keys, apart)
     warm = _shared(_blocks(kept.filter(F.col("n_est").isNotNull())), [*keys, "lo", "hi"], apart, blocks=True)
     pairs = _weigh(cold.unionByName(warm))
-    return _add_ignored(pairs, marked).filter(F.col("weight") >= m)
+    return add_ignored(pairs, marked).filter(F.col("weight") >= m)
 
 
 def overlap_of_reads(
@@ -131,7 +131,7 @@ def _weigh(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("src", "dst").agg(F.sum("delta").alias("weight"))
 
 
-def _ignore_hottest(tokens: DataFrame, hot: DataFrame, m: int) -> DataFrame:
+def ignore_hottest(tokens: DataFrame, hot: DataFrame, m: int) -> DataFrame:
     """Add ``n_est`` and ``ignored``; links to ignored k-mers are cut."""
     hottest = Window.partitionBy("read_id").orderBy(F.desc_nulls_last("n_est"), "kmer")
     reading = Window.partitionBy("read_id").orderBy(link_rank(F.col("link")), "kmer")
@@ -156,7 +156,7 @@ def _blocks(rows: DataFrame) -> DataFrame:
     return met.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
 
 
-def _add_ignored(pairs: DataFrame, marked: DataFrame) -> DataFrame:
+def add_ignored(pairs: DataFrame, marked: DataFrame) -> DataFrame:
     """Add the shared k-mers that at least one of the two reads ignored."""
     # at most m - 1 ignored and at most all k-mers of one read: bounded by the read
     lists = (

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from seqbin.operators.clusters import cluster_groups, label_groups, label_reads
 from seqbin.operators.copies import expand_components, expand_groups, read_copies
 from seqbin.operators.graph import attach_components, connected_components
-from seqbin.operators.groups import discard_small, group_reads
+from seqbin.operators.groups import discard_small, group_reads, seed_groups_hubs
+from seqbin.operators.hubs import can_cover, has_hot_kmers, hub_stars, overlap_hubs
 from seqbin.operators.metrics import binning_metrics
 from seqbin.operators.overlap import overlap_of_reads
 from seqbin.operators.records import merge_mates, parse_records, with_read_index
@@ -35,8 +37,13 @@ class Binning:
     vectors: DataFrame
     clusters: DataFrame
     labels: DataFrame
-    edges: DataFrame
     copies: DataFrame
+    listed: DataFrame | None = None
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        """``(src, dst)``: all pairs of different overlapping reads, listed when first asked for."""
+        return self.listed if self.listed is not None else overlap_pairs(self.reads, self.copies, self.params)
 
     def stats(self) -> DataFrame:
         """``(stage, n)``: reads, edges between different reads, and copies left out of them."""
@@ -63,17 +70,27 @@ def index_records(records: DataFrame) -> DataFrame:
     return stage(with_read_index(merged), "reads")
 
 
-def find_overlaps(reads: DataFrame, params: BinningParams) -> tuple[DataFrame, DataFrame]:
-    """``(edges, copies)``: overlaps between different reads, and who stands for whom.
+def find_copies(reads: DataFrame, params: BinningParams) -> DataFrame:
+    """``(read_id, rep)``: who stands for whom."""
+    return stage(read_copies(reads, params.kmer_size, params.threshold), "copies")
 
-    All pairs of different reads are listed, however hot their k-mers are: the
-    edge table is part of the result. Copies of a read are in ``copies`` only.
-    """
-    copies = stage(read_copies(reads, params.kmer_size, params.threshold), "copies")
+
+def _different(reads: DataFrame, copies: DataFrame) -> DataFrame:
     first = copies.filter("read_id = rep").select("read_id")
-    different = stage(reads.join(first, "read_id", "left_semi"), "different-reads")
+    return stage(reads.join(first, "read_id", "left_semi"), "different-reads")
+
+
+def overlap_pairs(reads: DataFrame, copies: DataFrame, params: BinningParams) -> DataFrame:
+    """``(src, dst)``: all pairs of different reads that overlap, however hot their k-mers are."""
+    different = _different(reads, copies)
     edges = overlap_of_reads(different, params.kmer_size, params.threshold, params.hot_kmer_reads)
-    return stage(edges.select("src", "dst"), "edges"), copies
+    return stage(edges.select("src", "dst"), "edges")
+
+
+def find_overlaps(reads: DataFrame, params: BinningParams) -> tuple[DataFrame, DataFrame]:
+    """``(edges, copies)``: overlaps between different reads, and who stands for whom."""
+    copies = find_copies(reads, params)
+    return overlap_pairs(reads, copies, params), copies
 
 
 def groups_from_overlaps(edges: DataFrame, copies: DataFrame, params: BinningParams) -> DataFrame:
@@ -88,6 +105,13 @@ def groups_from_overlaps(edges: DataFrame, copies: DataFrame, params: BinningPar
     return expand_groups(groups, copies)
 
 
+def groups_from_hubs(hubs: DataFrame, copies: DataFrame, params: BinningParams) -> DataFrame:
+    """The groups of :func:`groups_from_overlaps`, from shared windows instead of listed pairs."""
+    first = copies.filter("read_id = rep").select("read_id")
+    components = stage(attach_components(first, connected_components(hub_stars(hubs))), "components")
+    return expand_groups(seed_groups_hubs(hubs, components, params.seed_max), copies)
+
+
 def components_of_reads(reads: DataFrame, params: BinningParams) -> DataFrame:
     """``(read_id, component)`` of every read, by pairs of different reads and their copies."""
     edges, copies = find_overlaps(reads, params)
@@ -95,9 +119,27 @@ def components_of_reads(reads: DataFrame, params: BinningParams) -> DataFrame:
     return expand_components(attach_components(first, connected_components(edges)), copies)
 
 
-def find_groups(reads: DataFrame, params: BinningParams) -> DataFrame:
-    """Seed groups of all reads."""
-    return groups_from_overlaps(*find_overlaps(reads, params), params)
+def find_groups(reads: DataFrame, params: BinningParams, listed: bool = False) -> DataFrame:
+    """Seed groups of all reads; ``listed`` makes them from the table of all pairs.
+
+    The groups are the same. Pairs are also listed where they are needed (to grow groups
+    one after another, and for k-mers too long to pack) and where they are few: without
+    hot k-mers the pairs of a read are bounded. With hot k-mers they would grow with the
+    square of the reads, and shared windows stand for them.
+    """
+    copies = find_copies(reads, params)
+    return _groups(reads, copies, None if not listed else overlap_pairs(reads, copies, params), params)
+
+
+def _groups(reads: DataFrame, copies: DataFrame, edges: DataFrame | None, params: BinningParams) -> DataFrame:
+    if edges is not None:
+        return groups_from_overlaps(edges, copies, params)
+    different = _different(reads, copies)
+    size = params.kmer_size, params.threshold, params.hot_kmer_reads
+    if params.group_method == "stars" and can_cover(*size[:2]) and has_hot_kmers(different, size[0], size[2]):
+        return groups_from_hubs(stage(overlap_hubs(different, *size), "hubs"), copies, params)
+    edges = stage(overlap_of_reads(different, *size).select("src", "dst"), "edges")
+    return groups_from_overlaps(edges, copies, params)
 
 
 def bin_reads(
@@ -110,7 +152,8 @@ def bin_reads(
 
     With ``work_dir`` the edges, the copies and the group vectors are also kept
     there, in ``params.fmt`` (copies as parquet), and read back for the next phase;
-    see :func:`groups_from_edges` and :func:`labels_from_vectors`.
+    see :func:`groups_from_edges` and :func:`labels_from_vectors`. Without it pairs are
+    listed only where they are few (see :func:`find_groups`) or when ``edges`` is asked for.
     """
     params = params or BinningParams()
     records = read_fasta(spark, source) if isinstance(source, str) else source
@@ -122,20 +165,22 @@ def bin_indexed(
     reads: DataFrame, params: BinningParams, work_dir: str | None = None
 ) -> Binning:
     """:func:`bin_reads` from indexed reads."""
-    edges, copies = find_overlaps(reads, params)
+    copies = find_copies(reads, params)
+    edges = None
     if work_dir is not None:
+        edges = overlap_pairs(reads, copies, params)
         write_edges(edges, f"{work_dir}/edges", params.fmt)
         copies.write.mode("overwrite").parquet(f"{work_dir}/copies")
         groups = groups_from_edges(reads, params, work_dir)
     else:
-        groups = _kept_groups(groups_from_overlaps(edges, copies, params), params)
+        groups = _kept_groups(_groups(reads, copies, edges, params), params)
     vectors = stage(frequency_vectors(groups, reads, params.profile_k), "vectors")
     if work_dir is not None:
         write_vectors(vectors, f"{work_dir}/vectors", params.fmt)
         vectors, clusters, labels = labels_from_vectors(groups, reads, params, work_dir)
     else:
         clusters, labels = _labels(vectors, groups, reads, params)
-    return Binning(params, reads, groups, vectors, clusters, labels, edges, copies)
+    return Binning(params, reads, groups, vectors, clusters, labels, copies, edges)
 
 
 def groups_from_edges(reads: DataFrame, params: BinningParams, work_dir: str) -> DataFrame:
