@@ -32,3 +32,19 @@ def hot_keys(rows: DataFrame, key: str, limit: int, step: int = 1) -> DataFrame:
         .agg((F.count("*") * step).alias("n_est"))
         .filter(F.col("n_est") > limit)
     )
+
+
+#: join keys that the rows of one key are spread over
+PIECES = 128
+
+
+def join_one(rows: DataFrame, table: DataFrame, keys: list[str], by: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``table``, which has one row per ``keys``, however many rows a key has.
+
+    The rows of a key are cut into up to ``PIECES`` by the hash of the columns ``by``; the row
+    of ``table`` is repeated for the pieces that occur, and rows join it by key and piece. So
+    the rows of a hot key go to many tasks. ``rows`` are read twice and should be a table.
+    """
+    cut = rows.withColumn("_piece", F.pmod(F.xxhash64(*by), F.lit(PIECES)))
+    places = cut.select(*keys, "_piece").distinct().join(table, keys)
+    return cut.join(places, [*keys, "_piece"], how).drop("_piece")
