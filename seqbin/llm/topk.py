@@ -8,12 +8,29 @@ which leaves the slices of the sums. The best rows are selected from the most
 significant slice downward; rows that tie at the boundary are resolved exactly by
 integer product and smaller vec_id.
 
-Blocks of queries meet blocks of vectors by a join on the block number: each pair
-of blocks yields at most k rows per query, and a window keeps the best k over all.
+The slices of a block are built once and written as an index table. Blocks of queries are
+repeated for every block of vectors and join the index on its number, so vectors cross the
+network once and queries once per block; the scores of selected rows are read off the
+slices of their sums. Each pair of blocks yields at most k rows per query, and a window
+keeps the best k over all.
+
+Vectors with components beyond ``NARROW`` (after scaling) do not fit 64-bit sums. They are
+indexed as numbers and their products, as query or candidate, are exact: in limbs of 23
+bits up to 2^46, in Python integers beyond. A score beyond 64 bits is shown as the largest
+or smallest long; its rank is exact.
+
+Defined cases: vectors without components have score 0 with each other; vectors of
+different length never meet; null, and vectors with a null or non-finite component, take no
+part; rows that repeat a vec_id are one candidate each but one query; an empty table gives
+an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,24 +43,29 @@ SCALE = 256
 #: vectors of one block: the bitmaps of one slice take BLOCK_ROWS / 8 bytes
 BLOCK_ROWS = 16_384
 QUERY_ROWS = 128
-#: quantised components beyond this do not fit exact 64-bit sums; such vectors take no part
-LARGEST = 1 << 24
+#: scaled components below this, in at most MAX_DIMS dimensions, have exact 64-bit sums
+NARROW = 1 << 24
+MAX_DIMS = 1 << 14
+_LIMB = 23
+_LOWEST, _HIGHEST = -(1 << 63), (1 << 63) - 1
 
 
 def quantise(vectors: DataFrame) -> DataFrame:
-    """``(vec_id, v array<long>)`` of usable ``(vec_id, embedding)`` rows.
+    """``(vec_id, dims, v array<int>, e array<double>)`` of usable ``(vec_id, embedding)`` rows.
 
-    Left out are rows whose id or embedding is null, or whose embedding is empty or
-    holds a null, a non-finite or a huge (2^24 after scaling) component.
+    ``v`` is ``floor(256 x)``, or null where that is too large for it; then ``e`` holds x.
+    Left out are rows whose id or embedding is null, or whose embedding holds a null or a
+    non-finite component.
     """
     e = F.col("embedding").cast("array<double>")
-    usable = F.forall(
-        e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")) & (F.abs(x * SCALE) < float(LARGEST))
-    )
-    return (
-        vectors.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull())
-        .filter((F.size("embedding") > 0) & usable)
-        .select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(e, lambda x: F.floor(x * SCALE)).alias("v"))
+    usable = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    narrow = F.forall(e, lambda x: F.abs(x) * SCALE < float(NARROW)) & (F.size(e) <= MAX_DIMS)
+    whole = F.transform(e, lambda x: F.floor(x * SCALE).cast("int"))
+    return vectors.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).filter(usable).select(
+        F.col("vec_id").cast("long").alias("vec_id"),
+        F.size(e).cast("long").alias("dims"),
+        F.when(narrow, whole).alias("v"),
+        F.when(~narrow, e).alias("e"),
     )
 
 
@@ -122,97 +144,181 @@ def _rows_of(bitmap: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.unpackbits(bitmap.view(np.uint8), bitorder="little"))
 
 
-def search_block(ids: np.ndarray, values: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int):
-    """``(query_id, vec_id, score)`` arrays of each query's best k rows of a block."""
-    _, slices = build_slices(values)
+def slice_values(low: np.ndarray, slices: np.ndarray, rows: int) -> np.ndarray:
+    """The integers ``(rows, dims)`` of an index block."""
+    values = np.repeat(low[:, None], rows, 1)
+    for b, of_bit in enumerate(slices):
+        bits = np.unpackbits(of_bit.view(np.uint8).reshape(len(low), -1), axis=1, bitorder="little")[:, :rows]
+        values += bits.astype(np.int64) << b
+    return values.T
+
+
+def _best_sliced(allowed_rows: np.ndarray, ids: np.ndarray, low: np.ndarray, slices: np.ndarray, weights: np.ndarray, k: int):
+    """``(rows, scores)`` of the best k allowed rows, by the slices of their sums."""
     width = slices.shape[2] * 64
-    everyone = np.zeros(width, bool)
-    everyone[: len(ids)] = True
-    found_q, found_v, found_s = [], [], []
-    order = np.argsort(ids, kind="stable")
-    by_id = ids[order]
-    for q, weights in zip(query_ids, queries, strict=True):
-        sums, _ = add_slices(slices, weights)
-        mask = everyone.copy()
-        mask[order[np.searchsorted(by_id, q, "left") : np.searchsorted(by_id, q, "right")]] = False
-        allowed = np.packbits(mask, bitorder="little").view(np.uint64)
-        sure, tied = best_rows(sums, allowed, k)
-        first, rest = _rows_of(sure), _rows_of(tied)
-        if len(first) < k and len(rest):
-            keep = np.lexsort((rest, ids[rest]))[: k - len(first)]
-            first = np.concatenate([first, rest[keep]])
-        found_q.append(np.full(len(first), q))
-        found_v.append(ids[first])
-        found_s.append(values[first] @ weights)
-    return np.concatenate(found_q), np.concatenate(found_v), np.concatenate(found_s)
-
-
-def _packed(vectors: DataFrame, key: str, count: int) -> DataFrame:
-    """``(key, dims, ids, body)``: the vectors of each of ``count`` blocks as raw bytes.
-
-    Rows are dealt to blocks in turn, whatever their values. Vectors of different
-    length in a block become rows of their own.
-    """
+    mask = np.zeros(width, bool)
+    mask[: len(ids)] = allowed_rows
+    sums, constant = add_slices(slices, weights)
+    sure, tied = best_rows(sums, np.packbits(mask, bitorder="little").view(np.uint64), k)
+    first, rest = _rows_of(sure), _rows_of(tied)
+    if len(first) < k and len(rest):
+        keep = np.lexsort((rest, ids[rest]))[: k - len(first)]
+        first = np.concatenate([first, rest[keep]])
+    # sums wrap around like the score, which fits 64 bits
+    score = np.zeros(len(first), np.uint64)
+    for place, part in enumerate(sums[:64]):
+        score += (part[first >> 6] >> (first & 63).astype(np.uint64) & np.uint64(1)) << np.uint64(place)
+    return first, (score + np.uint64((constant + int(weights @ low)) % (1 << 64))).view(np.int64)
+
+
+def exact_products(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Inner products of integer rows of any size, as Python integers."""
+    top = max((int(abs(edge)) for x in (values, weights) if x.size for edge in (x.min(), x.max())), default=0)
+    if top >> 2 * _LIMB or len(weights) > MAX_DIMS:
+        return values.astype(object) @ weights.astype(object) if len(weights) else np.zeros(len(values), object)
+    values, weights = values.astype(np.int64), weights.astype(np.int64)
+    high, wide = values >> _LIMB, weights >> _LIMB
+    rest, small = values - (high << _LIMB), weights - (wide << _LIMB)
+    parts = (high @ wide, high @ small + rest @ wide, rest @ small)
+    return sum(p.astype(object) << _LIMB * (2 - i) for i, p in enumerate(parts))
+
+
+def _best_exact(allowed_rows: np.ndarray, ids: np.ndarray, values: np.ndarray, weights: np.ndarray, k: int):
+    rows = np.flatnonzero(allowed_rows)
+    score = exact_products(values[rows], weights)
+    best = heapq.nsmallest(k, range(len(rows)), key=lambda i: (-score[i], ids[rows[i]], i))
+    return rows[best], score[best]
+
+
+def _beyond(score: int) -> str:
+    """Orders scores beyond 64 bits, which all show as the same number."""
+    if _LOWEST <= score <= _HIGHEST:
+        return ""
+    digits = str(abs(score))
+    if score > 0:
+        return f"{len(digits):05d}{digits}"
+    return f"{99_999 - len(digits):05d}" + "".join(str(9 - int(d)) for d in digits)
+
+
+def _whole(row: bytes, dims: int) -> np.ndarray:
+    """Scaled integers of vectors kept as doubles."""
+    x = np.frombuffer(row, np.float64)
+    out = np.empty(len(x), object)
+    # 256 x is exact for doubles, but may pass their range
+    out[:] = [math.floor(v * SCALE) if abs(v) < 1e300 else int(v) * SCALE for v in x.tolist()]
+    return out.reshape(-1, dims)
+
+
+def _grouped(rows: DataFrame, key: str, count: int, run) -> DataFrame:
+    """Rows dealt to blocks in turn, whatever their values; one call per block, length and kind."""
+    dealt = rows.withColumn(key, F.monotonically_increasing_id() % count).withColumn("wide", F.col("v").isNull())
+    return dealt.groupBy(key, "dims", "wide").applyInArrow(
+        run, f"{key} long, dims long, wide boolean, ids binary, low binary, bits long, body binary"
+    )
+
+
+def _row(table: pa.Table, key: str, ids: np.ndarray, low: bytes, bits: int, body: bytes) -> pa.Table:
+    first = [table.column(c)[0].as_py() for c in (key, "dims", "wide")]
+    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.int64(), pa.binary()]
+    values = [*first, ids.tobytes(), low, bits, body]
+    names = [key, "dims", "wide", "ids", "low", "bits", "body"]
+    return pa.table([pa.array([v], t) for v, t in zip(values, kinds)], names=names)
+
+
+def _flat(table: pa.Table, column: str, dtype) -> np.ndarray:
+    lists = table.column(column).combine_chunks()
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(dtype)
+
+
+def build_index(vectors: DataFrame, count: int) -> DataFrame:
+    """The bit-sliced index: per block its ids, lowest values and slices (numbers, if wide)."""
 
     def run(table: pa.Table) -> pa.Table:
-        block = table.column(key)[0].as_py()
         ids = table.column("vec_id").to_numpy()
-        lists = table.column("v").combine_chunks()
-        ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
-        dims = np.diff(ends)
-        rows = []
-        for d in np.unique(dims):
-            own = np.flatnonzero(dims == d)
-            body = flat[ends[own][:, None] + np.arange(d)].astype(np.int32)
-            rows.append({key: block, "dims": int(d), "ids": ids[own].tobytes(), "body": body.tobytes()})
-        return pa.Table.from_pylist(
-            rows, pa.schema([(key, pa.int64()), ("dims", pa.int64()), ("ids", pa.binary()), ("body", pa.binary())])
-        )
-
-    dealt = vectors.withColumn(key, F.monotonically_increasing_id() % count)
-    return dealt.groupBy(key).applyInArrow(run, f"{key} long, dims long, ids binary, body binary")
+        if table.column("wide")[0].as_py():
+            return _row(table, "block", ids, b"", 0, _flat(table, "e", np.float64).tobytes())
+        values = _flat(table, "v", np.int64).reshape(len(ids), -1)
+        if not values.shape[1]:
+            return _row(table, "block", ids, b"", 0, b"")
+        low, slices = build_slices(values)
+        return _row(table, "block", ids, low.tobytes(), len(slices), slices.tobytes())
+
+    return _grouped(vectors, "block", count, run)
+
+
+def _pack_queries(queries: DataFrame, count: int) -> DataFrame:
+    def run(table: pa.Table) -> pa.Table:
+        wide = table.column("wide")[0].as_py()
+        body = _flat(table, "e", np.float64) if wide else _flat(table, "v", np.int32)
+        return _row(table, "qblock", table.column("vec_id").to_numpy(), b"", 0, body.tobytes())
+
+    return _grouped(queries, "qblock", count, run)
+
+
+def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """The best k rows of an index block for each query of a block of queries."""
+    for batch in batches:
+        for at in range(batch.num_rows):
+            dims, wide, ids, low, bits, body, asking_wide, query_ids, asked = (
+                batch.column(c)[at].as_py() for c in range(batch.num_columns)
+            )
+            ids, query_ids = np.frombuffer(ids, np.int64), np.frombuffer(query_ids, np.int64)
+            if asking_wide:
+                queries = _whole(asked, dims)
+            else:
+                queries = np.frombuffer(asked, np.int32).astype(np.int64).reshape(len(query_ids), dims)
+            sliced = bool(dims) and not wide and not asking_wide
+            if dims and not wide:
+                low = np.frombuffer(low, np.int64)
+                slices = np.frombuffer(body, np.uint64).reshape(bits, dims, -1)
+            if not sliced:
+                values = np.zeros((len(ids), 0), np.int64) if not dims else _whole(body, dims) if wide else slice_values(low, slices, len(ids))
+            found = []
+            for q, weights in zip(query_ids.tolist(), queries, strict=True):
+                others = ids != q
+                if sliced:
+                    rows, score = _best_sliced(others, ids, low, slices, weights, k)
+                else:
+                    rows, score = _best_exact(others, ids, values, weights, k)
+                for v, s in zip(ids[rows].tolist(), score.tolist()):
+                    found.append((q, v, min(max(s, _LOWEST), _HIGHEST), _beyond(s)))
+            columns = list(zip(*found)) or [[]] * 4
+            yield pa.record_batch(
+                [*(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string())],
+                names=["query_id", "vec_id", "score", "beyond"],
+            )
 
 
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: each query's k best other rows.
 
     Queries are the rows whose vec_id is divisible by ``every``, candidates all rows
-    with another vec_id; ties go to the smaller vec_id. Vectors of different length
-    have no product and never meet. See :func:`quantise` for rows that take no part.
-    Rows that repeat a vec_id are one candidate each but one query. With fewer than k
-    candidates all are returned.
+    with another vec_id; ties go to the smaller vec_id. With fewer than k candidates all
+    are returned.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
     used = stage(quantise(vectors.select("vec_id", "embedding")), "quantised")
     asked = stage(
-        used.filter(F.pmod("vec_id", F.lit(every)) == 0).groupBy("vec_id").agg(F.min("v").alias("v")), "queries"
+        used.filter(F.pmod("vec_id", F.lit(every)) == 0)
+        .groupBy("vec_id")
+        .agg(F.min(F.struct("dims", "v", "e")).alias("s"))
+        .select("vec_id", "s.*"),
+        "queries",
     )
     blocks = max(2, -(-used.count() // BLOCK_ROWS))
     qblocks = max(1, -(-asked.count() // QUERY_ROWS))
-    packed = stage(_packed(used, "block", blocks), "vector-blocks")
-    queries = stage(_packed(asked, "qblock", qblocks), "query-blocks")
-    # every block of queries meets every block of vectors, by the pair of their numbers
-    left = packed.withColumn("qblock", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(qblocks - 1).cast("long"))))
-    right = queries.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-
-    def run(block: pa.Table, asking: pa.Table) -> pa.Table:
-        parts = []
-        asked_rows = asking.select(["dims", "ids", "body"]).to_pylist()
-        for row in block.select(["dims", "ids", "body"]).to_pylist():
-            for query in asked_rows:
-                if query["dims"] == row["dims"]:
-                    parts.append(search_block(*_arrays(row), *_arrays(query), k))
-        none = np.zeros(0, np.int64)
-        q, v, s = (np.concatenate([none, *(p[i] for p in parts)]) for i in range(3))
-        return pa.table({"query_id": q, "vec_id": v, "score": s})
-
-    best = (
-        left.groupBy("block", "qblock")
-        .cogroup(right.groupBy("block", "qblock"))
-        .applyInArrow(run, "query_id long, vec_id long, score long")
+    index = stage(build_index(used, blocks), "sliced-index")
+    queries = _pack_queries(asked, qblocks).select(
+        "dims", F.col("wide").alias("asking_wide"), F.col("ids").alias("query_ids"), F.col("body").alias("asked")
+    )
+    # every block of queries meets every block of vectors, by its number
+    repeated = queries.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    met = index.join(repeated, ["block", "dims"])
+    best = met.select("dims", "wide", "ids", "low", "bits", "body", "asking_wide", "query_ids", "asked").mapInArrow(
+        lambda batches: _search(batches, k), "query_id long, vec_id long, score long, beyond string"
     )
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("beyond"), "vec_id")
     return (
         best.withColumn("rank", F.row_number().over(order).cast("int"))
         .filter(F.col("rank") <= k)
@@ -220,11 +326,6 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     )
 
 
-def _arrays(row: dict) -> tuple[np.ndarray, np.ndarray]:
-    values = np.frombuffer(row["body"], np.int32).reshape(-1, row["dims"]).astype(np.int64)
-    return np.frombuffer(row["ids"], np.int64), values
-
-
 ORACLE = """
 with q as (select vec_id, [cast(floor(256 * cast(x as double)) as bigint) for x in embedding] as v
            from embeddings
