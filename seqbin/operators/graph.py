@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqbin.operators.indexing import list_parts, with_group_position
+from seqbin.operators.skew import join_one
 from seqbin.staging import release, stage
 
 
@@ -31,19 +33,11 @@ def neighbors(edges: DataFrame, max_list: int = 100_000) -> DataFrame:
     """``(read_id, part, parts, nbrs)``: sorted neighbour ids.
 
     A list longer than ``max_list`` is held in ``parts`` rows, so a hub is never
-    gathered into one array; ``parts`` is 1 for all other reads.
+    gathered into one array, nor in one join key; ``parts`` is 1 for all other reads.
     """
-    pairs = both_directions(edges).filter(F.col("read_id") != F.col("nbr"))
-    sizes = (
-        pairs.groupBy("read_id")
-        .agg(F.count("*").alias("n"))
-        .select("read_id", F.ceil(F.col("n") / F.lit(max_list)).cast("int").alias("parts"))
-    )
-    return (
-        pairs.join(sizes, "read_id")
-        .groupBy("read_id", F.pmod(F.xxhash64("nbr"), "parts").cast("int").alias("part"), "parts")
-        .agg(F.sort_array(F.collect_set("nbr")).alias("nbrs"))
-    )
+    pairs = both_directions(edges).filter(F.col("read_id") != F.col("nbr")).distinct()
+    placed = with_group_position(pairs, ["read_id"], ["nbr"], "first", "at", "n")
+    return placed.groupBy("read_id", *list_parts("at", "n", max_list)).agg(F.sort_array(F.collect_list("nbr")).alias("nbrs"))
 
 
 def connected_components(edges: DataFrame, on_round=None) -> DataFrame:
@@ -53,7 +47,8 @@ def connected_components(edges: DataFrame, on_round=None) -> DataFrame:
     picks the vertex of its closed neighbourhood with the smallest hash, then that
     vertex's own pick, and the graph is contracted to the picked vertices. At least a constant share of the
     vertices goes in each expected round, so rounds grow with the logarithm of
-    the graph and the total work with its size, long chains included.
+    the graph and the total work with its size, long chains included. Labels go back to the
+    reads of a representative by pieces, so a component of all reads is no single join key.
 
     ``on_round(round, edge_count)`` is called after each round, for tests.
     """
@@ -76,10 +71,10 @@ def connected_components(edges: DataFrame, on_round=None) -> DataFrame:
     label = picks[-1]
     for pick in reversed(picks[:-1]):
         later = label.select(F.col("x").alias("rep"), F.col("rep").alias("final"))
-        label = pick.join(later, "rep", "left").select("x", F.coalesce("final", "rep").alias("rep"))
+        label = join_one(pick, later, ["rep"], ["x"], "left").select("x", F.coalesce("final", "rep").alias("rep"))
     label = stage(label, "cc-labels")
     smallest = label.groupBy("rep").agg(F.min("x").alias("component"))
-    return label.join(smallest, "rep").select(F.col("x").alias("read_id"), "component")
+    return join_one(label, smallest, ["rep"], ["x"]).select(F.col("x").alias("read_id"), "component")
 
 
 def _pick(edges: DataFrame, number: int) -> DataFrame:

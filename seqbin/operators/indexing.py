@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqbin.staging import stage
@@ -92,3 +92,10 @@ def with_group_position(
     return found.select(
         *df.columns, start, (F.col("_start") + F.col("_position") - F.col(start)).alias(position), total, *added
     )
+
+
+def list_parts(position: str, total: str, max_list: int) -> tuple[Column, Column]:
+    """``part`` and ``parts`` of a row in a list of ``total`` rows held ``max_list`` to a part."""
+    part = F.floor(F.col(position) / F.lit(max_list)).cast("int")
+    parts = F.ceil(F.col(total) / F.lit(max_list)).cast("int")
+    return part.alias("part"), parts.alias("parts")

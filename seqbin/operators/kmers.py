@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from seqbin.functions.dna import MAX_PACKED_K, kmers_of
 from seqbin.functions.vocabulary import word_table
+from seqbin.operators.indexing import list_parts, with_group_position
 
 #: neighbour code of a token that is not linked on that side
 UNLINKED = 4
@@ -160,19 +161,14 @@ def _pack_chunk(
 def kmer_index(read_kmers: DataFrame, min_reads: int = 2, max_list: int = 4096) -> DataFrame:
     """``(kmer, part, parts, adjacency)``: sorted read ids of each shared k-mer.
 
-    A k-mer in more than ``max_list`` reads is held in ``parts`` rows, so a hot
-    k-mer is never gathered into one array; ``parts`` is 1 for all others.
+    A k-mer in more than ``max_list`` reads is held in ``parts`` rows, each with the next
+    ``max_list`` ids, so a hot k-mer is never gathered into one array nor in one join key;
+    ``parts`` is 1 for all others.
     """
-    shared = (
-        read_kmers.groupBy("kmer")
-        .agg(F.count("*").alias("n"))
-        .filter(F.col("n") >= min_reads)
-        .select("kmer", F.ceil(F.col("n") / F.lit(max_list)).cast("int").alias("parts"))
-    )
-    part = F.pmod(F.xxhash64("read_id"), F.col("parts")).cast("int")
+    placed = with_group_position(read_kmers.select("kmer", "read_id"), ["kmer"], ["read_id"], "first", "at", "n")
     return (
-        read_kmers.join(shared, "kmer")
-        .groupBy("kmer", part.alias("part"), "parts")
+        placed.filter(F.col("n") >= min_reads)
+        .groupBy("kmer", *list_parts("at", "n", max_list))
         .agg(F.sort_array(F.collect_list("read_id")).alias("adjacency"))
     )
 
