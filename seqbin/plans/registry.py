@@ -884,6 +884,58 @@ def _cluster_groups_rules(spark, sf_dir):
     )
 
 
+@_query(
+    "cluster_groups_nearest",
+    _with(
+        _VECTORS_SQL,
+        """select key as group_id, cast(1 as bigint) as times, cast(0 as bigint) as nearer_means from totals""",
+    ),
+)
+def _cluster_groups_nearest(spark, sf_dir):
+    """Per group: how often it is listed, and how many means of other clusters are nearer than that of its own.
+
+    The means are computed anew from the groups of each cluster.
+    """
+    points = stage(_document_vectors(spark, sf_dir), "vectors")
+    found = stage(cl.cluster_groups(points, k=4), "found")
+    placed = points.join(found, "group_id")
+    means = (
+        placed.select("prediction", F.posexplode("features").alias("at", "x"))
+        .groupBy("prediction", "at")
+        .agg(F.avg("x").alias("mean"))
+        .groupBy("prediction")
+        .agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "mean"))), lambda s: s["mean"]).alias("mean"))
+    )
+
+    def distance(a, b):
+        return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda t, d: t + d)
+
+    # four means at most
+    own = means.select("prediction", F.col("mean").alias("own"))
+    all_means = means.agg(F.collect_list("mean").alias("means"))
+    compared = placed.join(F.broadcast(own), "prediction").join(F.broadcast(all_means), F.lit(True))
+    nearer = F.size(F.filter("means", lambda m: distance(F.col("features"), m) < distance(F.col("features"), F.col("own")) - 1e-12))
+    return compared.groupBy("group_id").agg(F.count("*").alias("times"), F.max(nearer).cast("long").alias("nearer_means"))
+
+
+@_query(
+    "group_members_of_groups",
+    _with(
+        _COMPONENTS_SQL,
+        """select read_id, cast(1 as bigint) as times, cast(0 as bigint) as misplaced from components""",
+    ),
+)
+def _group_members_of_groups(spark, sf_dir):
+    """Per read: how often the member lists hold it, and how often in the list of another group or kind."""
+    found = stage(find_groups(_reads(spark, sf_dir), BinningParams()), "found")
+    listed = groups.group_members(found, max_list=7).select("group_id", "is_seed", F.explode("members").alias("read_id"))
+    own = found.select("read_id", F.col("group_id").alias("own_group"), F.col("is_seed").alias("own_seed"))
+    wrong = (F.col("group_id") != F.col("own_group")) | (F.col("is_seed") != F.col("own_seed"))
+    return listed.join(own, "read_id").groupBy("read_id").agg(
+        F.count("*").alias("times"), F.count_if(wrong).alias("misplaced")
+    )
+
+
 @_query(
     "bin_reads_rules",
     _with(
