@@ -337,11 +337,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
 def drop_toxic(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """``docs`` without the rows whose text the grammar rejects; all columns stay."""
     grammar = train(docs, labels.filter(fold() != 0), sample_rows)
+    # the same column that Spark takes for "text", in any letter case
+    place = [name.lower() for name in docs.columns].index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(grammar)
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text"))
+            texts = batch.column(place)
             keep = pa.array([scorer.score(t.as_py()) < 0.5 for t in texts], pa.bool_())
             yield batch.filter(keep)
 

@@ -141,3 +141,11 @@ def test_lines(docs, nothing):
     assert kept.columns == docs.columns and kept.dtypes == docs.dtypes
     assert kept.count() == 10  # the second long text says nothing new
     assert lines.dedup_lines(nothing).count() == 0
+
+
+def test_drop_toxic_finds_its_column_in_any_case(spark, labels):
+    rows = [(i, "plain words of no harm", "fool " * 9) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, Text string, other string")
+    kept = grammar.drop_toxic(docs, labels)
+    assert kept.columns == docs.columns and kept.count() == 4
+    assert grammar.drop_toxic(docs.limit(0), labels).count() == 0
