@@ -899,12 +899,13 @@ def _cluster_groups_nearest(spark, sf_dir):
     points = stage(_document_vectors(spark, sf_dir), "vectors")
     found = stage(cl.cluster_groups(points, k=4), "found")
     placed = points.join(found, "group_id")
-    means = (
+    means = stage(
         placed.select("prediction", F.posexplode("features").alias("at", "x"))
         .groupBy("prediction", "at")
         .agg(F.avg("x").alias("mean"))
         .groupBy("prediction")
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "mean"))), lambda s: s["mean"]).alias("mean"))
+        .agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "mean"))), lambda s: s["mean"]).alias("mean")),
+        "means",
     )
 
     def distance(a, b):
@@ -912,9 +913,9 @@ def _cluster_groups_nearest(spark, sf_dir):
 
     # four means at most
     own = means.select("prediction", F.col("mean").alias("own"))
-    all_means = means.agg(F.collect_list("mean").alias("means"))
-    compared = placed.join(F.broadcast(own), "prediction").join(F.broadcast(all_means), F.lit(True))
-    nearer = F.size(F.filter("means", lambda m: distance(F.col("features"), m) < distance(F.col("features"), F.col("own")) - 1e-12))
+    all_means = F.array(*(F.lit(row["mean"]) for row in means.collect()))
+    compared = placed.join(F.broadcast(own), "prediction")
+    nearer = F.size(F.filter(all_means, lambda m: distance(F.col("features"), m) < distance(F.col("features"), F.col("own")) - 1e-12))
     return compared.groupBy("group_id").agg(F.count("*").alias("times"), F.max(nearer).cast("long").alias("nearer_means"))
 
 
