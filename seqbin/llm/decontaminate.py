@@ -5,8 +5,12 @@ case) or of anything outside ASCII. Items are cut into windows of ten words; an
 item of fewer words is one window. The hashes of the windows of a document are
 looked up in the set of item windows, and every hit is verified on the words.
 
-The item windows are broadcast only after they have been counted and lie under
-``BROADCAST_WINDOWS``; beyond it the same join is a shuffled one.
+Texts are cut into chunks of ``CHUNK`` words with the words a window needs beyond them,
+and only a chunk stands beside each of its positions: work is linear in the length of a
+text. The item windows are broadcast only after they have been counted and measured and
+lie under ``BROADCAST_WINDOWS`` and ``BROADCAST_BYTES``; beyond either the same join is a
+shuffled one. An empty table of items leaves every document clean, an empty table of
+documents gives no rows.
 """
 
 from __future__ import annotations
@@ -18,8 +22,11 @@ from seqbin.llm.columns import fresh
 from seqbin.staging import stage
 
 WINDOW = 10
-#: item windows up to which they are broadcast: some 200 bytes each
+#: item windows, and bytes of their words and item ids, up to which they are broadcast
 BROADCAST_WINDOWS = 200_000
+BROADCAST_BYTES = 64 << 20
+#: window starts in a chunk of a text
+CHUNK = 64
 
 #: leading words of a window that are looked up first
 ANCHOR = 3
@@ -49,11 +56,24 @@ def _windows(all_words: Column, size: int | Column) -> Column:
     )
 
 
-def _leads(all_words: Column, size: int, lead: int) -> Column:
-    """Hashes of the first ``lead`` words of every window, by position."""
+def _chunks(all_words: Column, size: int) -> Column:
+    """``array<struct<base, part>>``: the words from every ``CHUNK``-th on, for ``CHUNK`` windows each."""
+    last = F.size(all_words) - size
+
+    def chunk(base: Column) -> Column:
+        end = F.least(base + (CHUNK + size - 2), F.size(all_words) - 1)
+        part = F.transform(F.sequence(base, end), lambda i: F.get(all_words, i))
+        return F.struct(base.alias("base"), part.alias("part"))
+
+    bases = F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(CHUNK))
+    return F.when(last >= 0, F.transform(bases, chunk))
+
+
+def _leads(part: Column, size: int, lead: int) -> Column:
+    """Hashes of the first ``lead`` words of every window of a chunk, by position."""
     return F.transform(
-        F.sequence(F.lit(0), F.size(all_words) - size),
-        lambda i: F.xxhash64(*(F.get(all_words, i + j if j else i) for j in range(lead))),
+        F.sequence(F.lit(0), F.size(part) - size),
+        lambda i: F.xxhash64(*(F.get(part, i + j if j else i) for j in range(lead))),
     )
 
 
@@ -74,29 +94,27 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def window_hits(docs: DataFrame, grams: DataFrame, window: int = WINDOW, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """``(doc_id, pos, size, items)``: verified occurrences of item windows in documents."""
-    counts = {r["size"]: r["n"] for r in grams.groupBy("size").agg(F.count("*").alias("n")).collect()}  # at most `window` rows
-    small = sum(counts.values()) <= broadcast_windows
+    held = F.length(F.array_join("gram", " ")) + F.length(F.array_join("items", " "))
+    sizes = grams.groupBy("size").agg(F.count("*").alias("n"), F.sum(held * 4).alias("bytes"))
+    counts = {r["size"]: r for r in sizes.collect()}  # at most `window` rows
+    small = sum(r["n"] for r in counts.values()) <= broadcast_windows
+    small = small and sum(r["bytes"] for r in counts.values()) <= BROADCAST_BYTES
     tokens = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words().alias("w"))
-    w, pos = F.col("w"), F.col("pos")
     parts = []
     for size in sorted(counts):
         looked_up = grams.filter(F.col("size") == size).select("h", "gram", "items")
-        texts = tokens.filter(F.size("w") >= size)
+        chunks = tokens.select("doc_id", F.inline(_chunks(F.col("w"), size)))
+        lead = min(ANCHOR, size)
+        starts = chunks.select("doc_id", "base", "part", F.posexplode(_leads(F.col("part"), size, lead)).alias("at", "a"))
         if small:
             # the first words of a window are hashed everywhere, the whole window only where they match
-            lead = min(ANCHOR, size)
             anchors = looked_up.select(F.xxhash64(*(F.get("gram", F.lit(j)) for j in range(lead))).alias("a")).distinct()
-            starts = texts.select("doc_id", "w", F.posexplode(_leads(w, size, lead)).alias("pos", "a"))
-            hashed = starts.join(F.broadcast(anchors), "a", "left_semi").withColumn(
-                "h", F.xxhash64(F.slice(w, pos + 1, size))
-            )
-            hit = hashed.join(F.broadcast(looked_up), "h").filter(F.slice(w, pos + 1, size) == F.col("gram"))
-        else:
-            # ship the window and not the text
-            hashed = texts.select("doc_id", "w", F.inline(_windows(w, size))).select(
-                "doc_id", F.slice(w, pos + 1, size).alias("own"), "h", "pos"
-            )
-            hit = hashed.join(looked_up, "h").filter("own = gram")
+            starts = starts.join(F.broadcast(anchors), "a", "left_semi")
+            looked_up = F.broadcast(looked_up)
+        # what is shipped, if anything, is the window and not the text
+        own = F.slice("part", F.col("at") + 1, size)
+        hashed = starts.select("doc_id", (F.col("base") + F.col("at")).alias("pos"), own.alias("own"))
+        hit = hashed.withColumn("h", F.xxhash64("own")).join(looked_up, "h").filter("own = gram")
         parts.append(hit.select("doc_id", "pos", F.lit(size).alias("size"), "items"))
     if not parts:
         return docs.select(
