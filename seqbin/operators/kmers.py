@@ -6,17 +6,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqbin.functions.dna import MAX_PACKED_K, kmers_of
-from seqbin.functions.vocabulary import word_table
+from seqbin.functions.dna import MAX_PACKED_K, kmers_of, revcomp
+from seqbin.functions.vocabulary import canonical_kmers, canonical_size, word_table
 from seqbin.operators.indexing import list_parts, with_group_position
 
 #: neighbour code of a token that is not linked on that side
 UNLINKED = 4
 #: bases handled at a time inside one Arrow batch
 _CHUNK_BASES = 4_000_000
+#: largest k whose counts are kept as one array per key: 512 numbers
+MAX_HISTOGRAM_K = 5
+#: rows, and keys, whose histograms are held at a time inside one task
+_HISTOGRAM_ROWS = 2048
+#: two-bit code of a base letter, 4 for any other byte
+_BASE_CODE = np.full(256, 4, np.uint8)
+_BASE_CODE[list(b"ACGT")] = range(4)
 
 
 def read_kmers(reads: DataFrame, k: int, carry: str | None = None) -> DataFrame:
@@ -177,10 +185,112 @@ def kmer_profile(keyed_runs: DataFrame, k: int = 4) -> DataFrame:
     """``(key, kmer, weight, forward)`` from ``(key, run)``, one row per representative.
 
     ``weight`` counts each k-mer and its reverse complement, so a palindrome
-    counts twice; ``forward`` counts it once.
+    counts twice; ``forward`` counts it once. Up to ``MAX_HISTOGRAM_K`` the rows come
+    from :func:`kmer_histograms`, beyond it k-mers are counted as rows.
     """
-    words = keyed_runs.select("key", F.explode(kmers_of("run", k)).alias("word"))
-    table = F.broadcast(word_table(keyed_runs.sparkSession, k))
-    counted = words.join(table, "word").groupBy("key", "kmer", "twice").agg(F.count("*").alias("forward"))
+    if k <= MAX_HISTOGRAM_K:
+        entries = kmer_histograms(keyed_runs, k).select("key", F.posexplode("counts").alias("idx", "forward"))
+        names = canonical_kmers(keyed_runs.sparkSession, k).withColumn("twice", F.col("kmer") == revcomp("kmer"))
+        counted = entries.filter("forward > 0").join(F.broadcast(names), "idx")
+    else:
+        words = keyed_runs.select("key", F.explode(kmers_of("run", k)).alias("word"))
+        table = F.broadcast(word_table(keyed_runs.sparkSession, k))
+        counted = words.join(table, "word").groupBy("key", "kmer", "twice").agg(F.count("*").alias("forward"))
     weight = F.col("forward") * F.when(F.col("twice"), 2).otherwise(1)
     return counted.select("key", "kmer", weight.alias("weight"), "forward")
+
+
+def kmer_histograms(keyed_runs: DataFrame, k: int = 4) -> DataFrame:
+    """``(key, counts)`` from ``(key, run)``: how often each canonical k-mer occurs, by its number.
+
+    Runs are counted where they are, so a key is shuffled as one row of
+    ``canonical_size(k)`` numbers per task and not as one row per k-mer. Rows of a key are
+    then added up as they stream by in key order; no key is held as a list. A key whose
+    runs are null or shorter than k gets zeros.
+    """
+    if not 1 <= k <= MAX_HISTOGRAM_K:
+        raise ValueError(f"histograms need 1 <= k <= {MAX_HISTOGRAM_K}")
+    key = keyed_runs.schema["key"].dataType.simpleString()
+    schema, size = f"key {key}, counts array<bigint>", canonical_size(k)
+    counted = keyed_runs.select("key", "run").mapInArrow(lambda batches: _count_batches(batches, k, size), schema)
+    placed = counted.repartition("key").sortWithinPartitions("key")
+    return placed.mapInArrow(lambda batches: _add_sorted(batches, size), schema)
+
+
+def canonical_numbers(k: int) -> np.ndarray:
+    """Number of the canonical k-mer of every packed k-mer (two bits a base, A C G T)."""
+    code = np.arange(4**k)
+    reverse = np.zeros_like(code)
+    for place in range(k):
+        reverse = reverse * 4 + 3 - (code >> (2 * place) & 3)
+    return np.unique(np.minimum(code, reverse), return_inverse=True)[1]
+
+
+def _histogram(keys: np.ndarray, runs: pa.Array, numbers: np.ndarray, k: int, size: int, n_keys: int) -> np.ndarray:
+    """Counts by key number and canonical k-mer over the runs of a batch."""
+    ends = np.frombuffer(runs.buffers()[1], np.int64)[runs.offset : runs.offset + len(runs) + 1]
+    run_of = np.repeat(np.arange(len(runs)), np.diff(ends))
+    text = np.frombuffer(runs.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    base = _BASE_CODE[text]
+    n = len(base) - k + 1
+    if n < 1:
+        return np.zeros((n_keys, size), np.int64)
+    code, whole = np.zeros(n, np.int64), run_of[:n] == run_of[k - 1 :]
+    for place in range(k):
+        part = base[place : place + n]
+        code = code * 4 + (part & 3)
+        whole &= part < 4
+    cell = keys[run_of[:n][whole]] * size + numbers[code[whole]]
+    return np.bincount(cell, minlength=n_keys * size).reshape(n_keys, size)
+
+
+def _count_batches(batches: Iterator[pa.RecordBatch], k: int, size: int) -> Iterator[pa.RecordBatch]:
+    numbers = canonical_numbers(k)
+    sums: dict[object, np.ndarray] = {}
+    kind = None
+    for batch in batches:
+        kind = batch.column(0).type
+        for start in range(0, batch.num_rows, _HISTOGRAM_ROWS):
+            part = batch.slice(start, _HISTOGRAM_ROWS)
+            named = part.column(0).dictionary_encode(null_encoding="encode")
+            keys = named.dictionary.to_pylist()
+            runs = pc.fill_null(part.column(1), "").cast(pa.large_string())
+            counts = _histogram(named.indices.to_numpy(), runs, numbers, k, size, len(keys))
+            for key, row in zip(keys, counts, strict=True):
+                sums[key] = sums[key] + row if key in sums else row
+            if len(sums) >= _HISTOGRAM_ROWS:
+                yield _histogram_batch(list(sums), np.array(list(sums.values())), kind)
+                sums = {}
+    if sums:
+        yield _histogram_batch(list(sums), np.array(list(sums.values())), kind)
+
+
+def _histogram_batch(keys: list, counts: np.ndarray, kind: pa.DataType) -> pa.RecordBatch:
+    offsets = np.arange(len(keys) + 1, dtype=np.int32) * counts.shape[1]
+    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(counts.ravel(), pa.int64()))
+    return pa.record_batch([pa.array(keys, kind), lists], names=["key", "counts"])
+
+
+def _add_sorted(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Add up the rows of each key of a partition sorted by key; one key is open at a time."""
+    key, total, kind = None, None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        kind = batch.column(0).type
+        named = batch.column(0).dictionary_encode(null_encoding="encode")
+        index = named.indices.to_numpy()
+        starts = np.flatnonzero(np.append(True, index[1:] != index[:-1]))
+        rows = batch.column(1).flatten().to_numpy().reshape(-1, size)
+        sums = np.add.reduceat(rows, starts, axis=0)
+        keys = [named.dictionary[index[i]].as_py() for i in starts.tolist()]
+        if total is not None:
+            if keys[0] == key:
+                sums[0] += total
+            else:
+                keys, sums = [key, *keys], np.vstack([total, sums])
+        key, total = keys[-1], sums[-1].copy()
+        if len(keys) > 1:
+            yield _histogram_batch(keys[:-1], sums[:-1], kind)
+    if total is not None:
+        yield _histogram_batch([key], total[None], kind)
