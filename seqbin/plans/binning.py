@@ -20,6 +20,7 @@ from seqbin.operators.results import results
 from seqbin.operators.stats import stage_stats
 from seqbin.operators.vectors import frequency_vectors
 from seqbin.params import BinningParams
+from seqbin.plans.phases import EDGE_PARAMS, VECTOR_PARAMS, begin_phase, check_phase, end_phase, require_mark
 from seqbin.sinks.results import write_cluster_fasta, write_labels, write_summary
 from seqbin.sinks.tables import write_edges, write_vectors
 from seqbin.sources.fasta import read_fasta
@@ -168,35 +169,59 @@ def bin_indexed(
     copies = find_copies(reads, params)
     edges = None
     if work_dir is not None:
+        spark = reads.sparkSession
         edges = overlap_pairs(reads, copies, params)
+        for phase in ("edges", "vectors"):
+            begin_phase(spark, work_dir, phase)
         write_edges(edges, f"{work_dir}/edges", params.fmt)
         copies.write.mode("overwrite").parquet(f"{work_dir}/copies")
+        end_phase(reads, params, EDGE_PARAMS, work_dir, "edges", _edge_files(spark, params, work_dir))
         groups = groups_from_edges(reads, params, work_dir)
     else:
         groups = _kept_groups(_groups(reads, copies, edges, params), params)
     vectors = stage(frequency_vectors(groups, reads, params.profile_k), "vectors")
     if work_dir is not None:
         write_vectors(vectors, f"{work_dir}/vectors", params.fmt)
+        end_phase(reads, params, VECTOR_PARAMS, work_dir, "vectors", _vector_files(spark, params, work_dir))
         vectors, clusters, labels = labels_from_vectors(groups, reads, params, work_dir)
     else:
         clusters, labels = _labels(vectors, groups, reads, params)
     return Binning(params, reads, groups, vectors, clusters, labels, copies, edges)
 
 
+def _edge_files(spark: SparkSession, params: BinningParams, work_dir: str) -> dict[str, DataFrame]:
+    return {
+        "edges": read_edges(spark, f"{work_dir}/edges", params.fmt),
+        "copies": spark.read.schema("read_id long, rep long").parquet(f"{work_dir}/copies"),
+    }
+
+
+def _vector_files(spark: SparkSession, params: BinningParams, work_dir: str) -> dict[str, DataFrame]:
+    return {"vectors": read_vectors(spark, f"{work_dir}/vectors", params.fmt)}
+
+
 def groups_from_edges(reads: DataFrame, params: BinningParams, work_dir: str) -> DataFrame:
-    """Groups of a run from the edge and copy files in its ``work_dir``."""
-    spark = reads.sparkSession
-    edges = read_edges(spark, f"{work_dir}/edges", params.fmt)
-    copies = spark.read.schema("read_id long, rep long").parquet(f"{work_dir}/copies")
-    return _kept_groups(groups_from_overlaps(edges, copies, params), params)
+    """Groups of a run from the edge and copy files in its ``work_dir``.
+
+    Files that are incomplete, or of other reads or parameters, are a ``ValueError``.
+    """
+    require_mark(reads.sparkSession, work_dir, "edges")
+    files = _edge_files(reads.sparkSession, params, work_dir)
+    check_phase(reads, params, EDGE_PARAMS, work_dir, "edges", files)
+    return _kept_groups(groups_from_overlaps(files["edges"], files["copies"], params), params)
 
 
 def labels_from_vectors(
     groups: DataFrame, reads: DataFrame, params: BinningParams, work_dir: str
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(vectors, clusters, labels)`` of a run from the vector file in its ``work_dir``."""
-    kept = read_vectors(reads.sparkSession, f"{work_dir}/vectors", params.fmt)
-    vectors = kept.withColumn("features", F.when(F.size("features") > 0, F.col("features")))
+    """``(vectors, clusters, labels)`` of a run from the vector file in its ``work_dir``.
+
+    A file that is incomplete, or of other reads or parameters, is a ``ValueError``.
+    """
+    require_mark(reads.sparkSession, work_dir, "vectors")
+    files = _vector_files(reads.sparkSession, params, work_dir)
+    check_phase(reads, params, VECTOR_PARAMS, work_dir, "vectors", files)
+    vectors = files["vectors"].withColumn("features", F.when(F.size("features") > 0, F.col("features")))
     return vectors, *_labels(vectors, groups, reads, params)
 
 

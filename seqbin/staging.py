@@ -47,7 +47,8 @@ def stage_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def _delete(spark: SparkSession, paths: list[str]) -> None:
+def delete_paths(spark: SparkSession, paths: list[str]) -> None:
+    """Delete files or folders of any file system; what does not exist is left out."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     for path in paths:
@@ -59,7 +60,7 @@ def drop_stages(spark: SparkSession) -> None:
     """Delete all stage tables this process wrote; tables read from them end here too."""
     paths = _written[:]
     _written.clear()
-    _delete(spark, paths)
+    delete_paths(spark, paths)
 
 
 @contextmanager
@@ -74,7 +75,7 @@ def stage_scope(spark: SparkSession) -> Iterator[None]:
     finally:
         new = [path for path in _written if path not in before]
         _written[:] = [path for path in _written if path in before]
-        _delete(spark, new)
+        delete_paths(spark, new)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -92,7 +93,7 @@ def release(*tables: DataFrame) -> None:
         path = getattr(table, "_stage_path", None)
         if path in _written:
             _written.remove(path)
-            _delete(table.sparkSession, [path])
+            delete_paths(table.sparkSession, [path])
 
 
 def spread(scan: DataFrame, key: str) -> DataFrame:

@@ -1,0 +1,66 @@
+"""A run is resumed only from complete files of the same reads and parameters."""
+
+import random
+import shutil
+from dataclasses import replace
+
+import pytest
+from test_binning import species_records
+
+from seqbin import BinningParams
+from seqbin.plans.binning import bin_reads, groups_from_edges, labels_from_vectors
+from seqbin.plans.phases import begin_phase
+
+
+@pytest.fixture(scope="module")
+def finished(spark, tmp_path_factory):
+    records = spark.createDataFrame([(r,) for r in species_records(random.Random(3))], "rec string")
+    params = BinningParams(kmer_size=20, threshold=5)
+    work = str(tmp_path_factory.mktemp("phases") / "work")
+    return bin_reads(spark, records, params, work_dir=work), params, work
+
+
+@pytest.fixture
+def work(finished, tmp_path):
+    shutil.copytree(finished[2], tmp_path / "copy")
+    return str(tmp_path / "copy")
+
+
+def test_a_finished_phase_is_resumed(finished, work):
+    run, params, _ = finished
+    groups = groups_from_edges(run.reads, params, work)
+    assert sorted(groups.collect()) == sorted(run.groups.collect())
+    # what the files do not depend on may change
+    assert labels_from_vectors(groups, run.reads, replace(params, num_species=3), work)[2].count() == 120
+
+
+def test_an_unfinished_phase_is_an_error(spark, finished, work, tmp_path):
+    run, params, _ = finished
+    with pytest.raises(ValueError, match="not finished"):
+        groups_from_edges(run.reads, params, str(tmp_path / "nothing"))
+    begin_phase(spark, work, "edges")
+    with pytest.raises(ValueError, match="'edges'.*not finished"):
+        groups_from_edges(run.reads, params, work)
+    begin_phase(spark, work, "vectors")
+    with pytest.raises(ValueError, match="'vectors'.*not finished"):
+        labels_from_vectors(run.groups, run.reads, params, work)
+
+
+def test_files_of_another_run_are_an_error(finished, work):
+    run, params, _ = finished
+    with pytest.raises(ValueError, match="threshold = 5, not 6"):
+        groups_from_edges(run.reads, replace(params, threshold=6), work)
+    with pytest.raises(ValueError, match="seed_max = 20, not 3"):
+        labels_from_vectors(run.groups, run.reads, replace(params, seed_max=3), work)
+    with pytest.raises(ValueError, match="another run: reads = "):
+        groups_from_edges(run.reads.filter("read_id > 0"), params, work)
+
+
+def test_broken_files_are_an_error(spark, finished, work):
+    run, params, _ = finished
+    spark.createDataFrame([(0, 1)], "src bigint, dst bigint").write.mode("overwrite").parquet(f"{work}/edges")
+    with pytest.raises(ValueError, match="edges has 1 rows"):
+        groups_from_edges(run.reads, params, work)
+    spark.createDataFrame([], "group_id string, features array<double>").write.mode("overwrite").parquet(f"{work}/vectors")
+    with pytest.raises(ValueError, match="vectors has 0 rows"):
+        labels_from_vectors(run.groups, run.reads, params, work)
