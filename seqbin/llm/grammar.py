@@ -1,16 +1,17 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Five small machines are composed into one table: insult and threat words, their
-target, negation, and reported speech. A word is read as one symbol; the state
-remembers how recently a negation, a reporting word and a target were seen, and
-every insult or threat pays its weight, changed by that state. A threat without a
-target before it waits for one and pays when it comes. A clause (text between
+Small machines for negation, reported speech, targets and waiting threats read the
+words of a clause, each as one symbol, and say what holds at a word; a weighted
+transducer for insults and threats turns that into payments. :func:`compose` makes one
+table of them. Every insult or threat pays its weight, changed by what holds. A threat
+without a target before it waits for one and pays when it comes. A clause (text between
 sentence marks) scores the sum of its payments; words alone do not.
 
 Insult words are learned: a word, or a stem (the first letters of words), is
 taken up if it occurs in significantly more toxic than other training documents.
 The factors for negation, report and target come from the same documents by a
-logistic fit of the clause features.
+logistic fit of the clause features, in which what is negated or reported never
+raises a score.
 """
 
 from __future__ import annotations
@@ -30,17 +31,32 @@ from seqbin.staging import stage
 # fixed values: closed word classes of the grammar
 NEGATION = "not no never nobody nothing isn't aren't wasn't don't doesn't nicht kein keine nie ne pas jamais nunca".split()
 REPORT = "said says say saying claimed claims wrote writes quoted quote reported reports called according alleged sagte schrieb dit dijo".split()
-TARGET = "you your you're u he she they them him her his their yours yourself people du ihr sie tu vous toi usted ustedes".split()
-THREAT = "kill murder stab strangle burn destroy hurt shoot beat hang".split()
+TARGET = (
+    "you your you're u he she they them him her his their yours yourself people "
+    "du ihr sie dich dir euch ihn ihm ihnen tu vous toi te les leur lui eux usted ustedes ti os"
+).split()
+THREAT = (
+    "kill kills killed killing murder murders murdered murdering stab stabs stabbed stabbing strangle strangled strangling "
+    "burn burned burning destroy destroyed destroying hurt hurts hurting shoot shoots shooting beat beats beating hang hanged hanging "
+    "töten töte tötet umbringen umbringt ermorden ermorde ermordet erschießen erschieße erschießt erwürgen erwürge erstechen ersteche "
+    "verprügeln verprügle verbrennen verbrenne verletzen verletze vernichten vernichte "
+    "tuer tuerai tuera tuerons assassiner assassinerai égorger égorgerai étrangler étranglerai poignarder poignarderai frapper frapperai "
+    "brûler brûlerai blesser blesserai détruire détruirai "
+    "matar mataré mataremos matarte matarlo matarlos asesinar asesinaré apuñalar apuñalaré estrangular estrangularé golpear golpearé "
+    "quemar quemaré lastimar lastimaré destruir destruiré"
+).split()
 
 #: symbols of the composed machine
 OTHER, INSULT, THREATEN, NEGATE, REPORTED, TARGETED = range(6)
+SYMBOLS = 6
 #: words for which a negation, a target or a report stays in effect
 NEGATION_REACH, TARGET_REACH, REPORT_REACH = 3, 4, 6
 #: lengths of stems that may be learned
 STEMS = range(2, 8)
 #: documents of the fit; the smallest by hash of doc_id are taken, so every run takes the same
 SAMPLE_ROWS = 20_000
+#: upper bounds of weights (by place in ``Grammar.weights``): what is negated or reported raises no score
+BOUNDS = {2: 0.0, 3: 0.0}
 #: log-likelihood ratio an entry needs
 SIGNIFICANT = 18.0
 
@@ -54,47 +70,67 @@ class Grammar:
     words: dict[str, float] = field(default_factory=dict)
     stems: dict[str, float] = field(default_factory=dict)
     #: bias, plain, negated, reported, targeted, threats, density, any
-    weights: tuple[float, ...] = (-3.0, 1.0, -0.5, 0.2, 1.2, 0.8, 1.0, 2.0)
+    weights: tuple[float, ...] = (-3.0, 1.0, -0.5, -0.2, 1.2, 0.8, 1.0, 2.0)
 
 
-def _transitions() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(next state, payment class, payments)`` of the composed machine, by state and symbol.
+#: what a payment is: nothing, an insult as such, negated, reported or with a target, a threat
+NOTHING, PLAIN, NEGATED, REPORTING, AIMED, THREATENED = range(6)
 
-    A state is the product of three counters, words left for which a negation, a
-    report and a target hold, and one bit for each of the last ``TARGET_REACH`` words,
-    set for a threat that waits for its target. A target pays all that wait; a
-    negation or report in between counts as before the threat. Payment classes:
-    0 none, 1 plain, 2 negated, 3 reported, 4 targeted, 5 threat.
+
+def recent(symbol: int, reach: int) -> np.ndarray:
+    """Machine that holds for ``reach`` words after ``symbol``: next state by (state, symbol), 0 = does not hold."""
+    table = np.repeat(np.maximum(np.arange(reach + 1) - 1, 0)[:, None], SYMBOLS, axis=1)
+    table[:, symbol] = reach
+    return table
+
+
+def waiting_threats() -> np.ndarray:
+    """Machine of the threats that wait for a target: bit i set for one i words back, all paid by a target."""
+    states = 1 << TARGET_REACH
+    table = np.repeat((np.arange(states) << 1)[:, None] % states, SYMBOLS, axis=1)
+    table[:, THREATEN] |= 1
+    table[:, TARGETED] = 0
+    return table
+
+
+def payment(symbol: int, negated: int, reported: int, targeted: int, waiting: int) -> tuple[int, int]:
+    """Payment class and number of payments at a word; the other arguments are the machines' states before it."""
+    changed = NEGATED if negated else REPORTING if reported else NOTHING
+    if symbol == INSULT:
+        return changed or (AIMED if targeted else PLAIN), 1
+    if symbol == THREATEN and (changed or targeted):
+        return changed or THREATENED, 1
+    if symbol == TARGETED and waiting:
+        return changed or THREATENED, waiting.bit_count()
+    return NOTHING, 0
+
+
+def compose(machines: list[np.ndarray], output) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(next state, payment class, payments)`` by state and symbol of machines that read together.
+
+    States are those that can be reached from all machines' first states; state 0 is the start.
     """
-    waiting = 1 << TARGET_REACH
-    shape = (NEGATION_REACH + 1, REPORT_REACH + 1, TARGET_REACH + 1, waiting)
-    states = int(np.prod(shape))
-    follow, pay, times = (np.zeros((states, 6), kind) for kind in (np.int16, np.int8, np.int8))
-    for state in range(states):
-        neg, rep, tar, wait = np.unravel_index(state, shape)
-        for symbol in range(6):
-            later = [max(neg - 1, 0), max(rep - 1, 0), max(tar - 1, 0), (wait << 1) % waiting]
-            changed = 2 if neg else 3 if rep else 0
-            if symbol == NEGATE:
-                later[0] = NEGATION_REACH
-            elif symbol == REPORTED:
-                later[1] = REPORT_REACH
-            elif symbol == TARGETED:
-                later[2:] = TARGET_REACH, 0
-                if wait:
-                    pay[state, symbol], times[state, symbol] = changed or 5, int(wait).bit_count()
-            elif symbol == INSULT:
-                pay[state, symbol], times[state, symbol] = changed or (4 if tar else 1), 1
-            elif symbol == THREATEN:
-                if changed or tar:
-                    pay[state, symbol], times[state, symbol] = changed or 5, 1
-                else:
-                    later[3] |= 1
-            follow[state, symbol] = np.ravel_multi_index(later, shape)
-    return follow, pay, times
-
-
-_FOLLOW, _PAY, _TIMES = (table.tolist() for table in _transitions())
+    number = {(0,) * len(machines): 0}
+    rows: list[list[tuple[int, int, int]]] = []
+    queue = list(number)
+    for state in queue:  # grows while it is read
+        row = []
+        for symbol in range(SYMBOLS):
+            pay, times = output(symbol, *state)
+            # a threat that was paid at once does not wait
+            seen = OTHER if symbol == THREATEN and pay != NOTHING else symbol
+            after = tuple(int(m[s, seen]) for m, s in zip(machines, state, strict=True))
+            if after not in number:
+                number[after] = len(number)
+                queue.append(after)
+            row.append((number[after], pay, times))
+        rows.append(row)
+    table = np.array(rows)
+    return table[:, :, 0], table[:, :, 1], table[:, :, 2]
+
+
+MACHINES = [recent(NEGATE, NEGATION_REACH), recent(REPORTED, REPORT_REACH), recent(TARGETED, TARGET_REACH), waiting_threats()]
+_FOLLOW, _PAY, _TIMES = (table.tolist() for table in compose(MACHINES, payment))
 _CLOSED = (
     dict.fromkeys(THREAT, THREATEN)
     | dict.fromkeys(TARGET, TARGETED)
@@ -193,17 +229,29 @@ def _lexicon(counts: list, positives: int, negatives: int) -> tuple[dict, dict]:
 
 
 def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Logistic weights drawn towards the grammar's defaults, by Newton steps."""
+    """Logistic weights drawn towards the grammar's defaults, by Newton steps.
+
+    The factors in ``BOUNDS`` are at most what stands there: one that would pass its
+    bound is held at it and the others are fitted again.
+    """
+    w = _newton(x, y, {})
+    held = {i: bound for i, bound in BOUNDS.items() if w[i] > bound}
+    return _newton(x, y, held) if held else w
+
+
+def _newton(x: np.ndarray, y: np.ndarray, held: dict[int, float]) -> np.ndarray:
+    free = [i for i in range(x.shape[1]) if i not in held]
     prior = np.array(Grammar().weights)
     strength = np.full(len(prior), 0.5)
     strength[0] = 0.05
     w = prior.copy()
+    w[list(held)] = list(held.values())
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
         gradient = x.T @ (p - y) + strength * (w - prior)
         curve = (x * (p * (1 - p))[:, None]).T @ x + np.diag(strength)
-        step = np.linalg.solve(curve, gradient)
-        w -= step * min(1.0, 4.0 / (np.abs(step).max() + 1e-12))
+        step = np.linalg.solve(curve[np.ix_(free, free)], gradient[free])
+        w[free] -= step * min(1.0, 4.0 / (np.abs(step).max() + 1e-12))
         if np.abs(step).max() < 1e-7:
             break
     return w
