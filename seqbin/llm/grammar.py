@@ -150,7 +150,7 @@ def _features(word: str) -> list[str]:
 class Scorer:
     """Features and scores of single texts under a grammar."""
 
-    def __init__(self, grammar: Grammar, remember: int = 200_000):
+    def __init__(self, grammar: Grammar, remember: int = 50_000):
         self.grammar = grammar
         self.remember = remember
         self.seen: dict[str, tuple[int, float]] = {}
@@ -359,6 +359,7 @@ def score(docs: DataFrame, grammar: Grammar) -> DataFrame:
         for batch in batches:
             scores = [scorer.score(t.as_py()) for t in batch.column(1)]
             yield pa.record_batch([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
+            pa.default_memory_pool().release_unused()
 
     ids = F.col("doc_id").cast("long").alias("doc_id")
     return (
@@ -394,5 +395,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROW
             texts = batch.column(place)
             keep = pa.array([scorer.score(t.as_py()) < 0.5 for t in texts], pa.bool_())
             yield batch.filter(keep)
+            # the workers stay for the stages that follow
+            pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, docs.schema)
