@@ -32,6 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqbin.llm.memory import give_back
 from seqbin.llm.pretokens import Remembered, splitter
 
 #: pre-tokens of one generation of a Python worker's memory (about 230 bytes each, two generations)
@@ -297,13 +298,15 @@ def _encoder(ranks_path: str, pattern: str, remember: int) -> TextEncoder:
     return _encoders[key]
 
 
-def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, remember: int = REMEMBER) -> DataFrame:
+def encode_documents(
+    docs: DataFrame, ranks_path: str, pattern: str, remember: int = REMEMBER, slice_chars: int = SLICE_CHARS
+) -> DataFrame:
     """``(doc_id, n_tokens, ids, ids_sha256, decoded_sha256)`` per row of ``(doc_id, text)``.
 
-    Like :func:`encode_digests`, with the ids themselves. ``remember`` trades the
-    memory of the Python workers for time; the result does not depend on it.
+    Like :func:`encode_digests`, with the ids themselves. ``remember`` and ``slice_chars``
+    trade the memory of the Python workers for time; the result does not depend on them.
     """
-    return _encoded(docs, ranks_path, pattern, remember, keep_ids=True)
+    return _encoded(docs, ranks_path, pattern, remember, slice_chars, keep_ids=True)
 
 
 def encode_digests(docs: DataFrame, ranks_path: str, pattern: str, remember: int = REMEMBER) -> DataFrame:
@@ -314,15 +317,15 @@ def encode_digests(docs: DataFrame, ranks_path: str, pattern: str, remember: int
     repeat a doc_id, and null ids, are encoded like any other. ``ranks_path`` must be
     readable on all executors (it comes with the tokenizer package).
     """
-    return _encoded(docs, ranks_path, pattern, remember, keep_ids=False)
+    return _encoded(docs, ranks_path, pattern, remember, SLICE_CHARS, keep_ids=False)
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Rows of about ``SLICE_CHARS`` of text; a longer single text is handled alone."""
+def _slices(batch: pa.RecordBatch, chars: int) -> Iterator[pa.RecordBatch]:
+    """Rows of about ``chars`` characters of text; a longer single text is handled alone."""
     sizes = pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_pylist()
     start, total = 0, 0
     for i, size in enumerate(sizes):
-        if i > start and total + size > SLICE_CHARS:
+        if i > start and total + size > chars:
             yield batch.slice(start, i - start)
             start, total = i, 0
         total += size
@@ -330,14 +333,16 @@ def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(start)
 
 
-def _encoded(docs: DataFrame, ranks_path: str, pattern: str, remember: int, keep_ids: bool) -> DataFrame:
+def _encoded(
+    docs: DataFrame, ranks_path: str, pattern: str, remember: int, slice_chars: int, keep_ids: bool
+) -> DataFrame:
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * keep_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(ranks_path, pattern, remember)
         sha, decimal = hashlib.sha256, encoder.decimal
         for batch in batches:
-            for some in _slices(batch):
+            for some in _slices(batch, slice_chars):
                 counts, of_ids, of_bytes, kept = [], [], [], []
                 for ids in encoder.encode_all(some.column(1).to_pylist()):
                     counts.append(len(ids))
@@ -349,6 +354,8 @@ def _encoded(docs: DataFrame, ranks_path: str, pattern: str, remember: int, keep
                 if keep_ids:
                     columns.append(pa.array(kept, pa.list_(pa.int32())))
                 yield pa.record_batch(columns, names=names)
+                del counts, of_ids, of_bytes, kept, columns
+                give_back()
 
     ids = F.col("doc_id").cast("long").alias("doc_id")
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids

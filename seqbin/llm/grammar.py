@@ -26,6 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqbin.llm.memory import give_back
 from seqbin.staging import stage
 
 # fixed values: closed word classes of the grammar
@@ -359,7 +360,8 @@ def score(docs: DataFrame, grammar: Grammar) -> DataFrame:
         for batch in batches:
             scores = [scorer.score(t.as_py()) for t in batch.column(1)]
             yield pa.record_batch([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
-            pa.default_memory_pool().release_unused()
+            del batch, scores
+            give_back()
 
     ids = F.col("doc_id").cast("long").alias("doc_id")
     return (
@@ -395,7 +397,8 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROW
             texts = batch.column(place)
             keep = pa.array([scorer.score(t.as_py()) < 0.5 for t in texts], pa.bool_())
             yield batch.filter(keep)
-            # the workers stay for the stages that follow
-            pa.default_memory_pool().release_unused()
+            # not held while the next one is read
+            del batch, texts, keep
+            give_back()
 
     return docs.mapInArrow(run, docs.schema)

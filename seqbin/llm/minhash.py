@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqbin.llm import hashing
+from seqbin.llm.memory import give_back
 from seqbin.operators.graph import connected_components
 from seqbin.staging import stage
 
@@ -138,6 +139,8 @@ def sketch_documents(docs: DataFrame, size: int) -> DataFrame:
                     ],
                     names=["doc_id", "words_key", "n_shingles", "sketch"],
                 )
+            del batch, ids, texts
+            give_back()
 
     return docs.select("doc_id", "text").mapInArrow(
         run, "doc_id long, words_key binary, n_shingles long, sketch binary"
@@ -155,6 +158,8 @@ def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
                 ends = np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=hi - lo))))
                 sets = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(value.view(np.int64)))
                 yield pa.record_batch([ids.slice(lo, hi - lo).cast(pa.int64()), sets], names=["rep", "shingles"])
+            del batch, ids, texts
+            give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, "rep long, shingles array<long>")
 
@@ -187,6 +192,8 @@ def _estimated(pairs: DataFrame, percent: int) -> DataFrame:
             )
             keep = pa.array(may_link(s_a, s_b, n_a.to_numpy(), n_b.to_numpy(), percent))
             yield pa.record_batch([a.filter(keep), b.filter(keep)], names=["a", "b"])
+            del batch, a, b, n_a, n_b, s_a, s_b, keep
+            give_back()
 
     small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
     return (
