@@ -46,10 +46,9 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # the workers of the other stages are still there: remember less
-    return bpe.encode_documents(
-        docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, remember=150_000
-    )
+    # the workers of the other stages are still there: remember and hold less
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.encode_documents(docs, ranks, public_tokenizers.PATTERN, remember=150_000, slice_chars=2_000_000)
 
 
 STAGES = [
