@@ -12,6 +12,11 @@ taken up if it occurs in significantly more toxic than other training documents.
 The factors for negation, report and target come from the same documents by a
 logistic fit of the clause features, in which what is negated or reported never
 raises a score.
+
+Defined cases: a null or empty text scores like one without any clause; long texts are read
+whole, word by word; a null doc_id, or rows that repeat one, are scored like any other; without
+labels of both classes the grammar knows no insults, only threats; an empty table gives no
+rows; other columns are never read, and stay in :func:`drop_toxic`.
 """
 
 from __future__ import annotations

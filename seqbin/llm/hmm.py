@@ -19,6 +19,10 @@ corpus and stay in tables.
   expected counts, of fixed size, are summed over partitions.
 * *Scoring.* The scaled forward recursion over each whole text, end mark included;
   the texts of a block advance together, word by word.
+
+Defined cases: a null or empty text is its end mark alone; long texts are scored whole; a null
+doc_id, or rows that repeat one, are scored like any other; an empty table gives no rows; other columns
+are ignored.
 """
 
 from __future__ import annotations

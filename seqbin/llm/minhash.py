@@ -18,6 +18,9 @@
 
 The components are then the connected components of all checked links. A link
 at exactly 0.8 can be lost only if all 36 bands differ.
+
+Long texts are sketched and compared whole; an empty table gives no rows. The other cases are
+defined at :func:`near_duplicates`.
 """
 
 from __future__ import annotations

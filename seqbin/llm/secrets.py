@@ -11,6 +11,10 @@ thousands of parts is still one row.
 
 Linking rules: a weak token needs an identifier; a user name needs a secret (base
 or linked token); an endpoint needs both an identifier and a secret.
+
+Defined cases: a null or empty text has no spans (digest of nothing); long texts are scanned
+whole, and a value of any length is one span; a null doc_id, or rows that repeat one, are
+scanned like any other; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

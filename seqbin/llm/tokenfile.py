@@ -14,6 +14,10 @@ doc_id; a segment holds whole documents in ascending order.
 Segment bytes, little endian: magic ``DAC1``, u32 documents, u64 ids, u32 levels;
 doc_ids i64[], ids per document u64[]; per level u64 chunks, chunks u8[], bitmap
 u8[ceil(chunks / 8)], directory u64[ceil(chunks / 512)].
+
+Defined cases: a null or empty text has its end id only; long texts are encoded whole and
+stay in one segment; a row without a doc_id has no place and is left out; an empty table
+gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
