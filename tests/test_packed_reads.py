@@ -1,0 +1,41 @@
+"""Reads, k-mers and profiles are made in work that grows with their bases."""
+
+import random
+
+import pytest
+
+from seqbin import fixtures
+from seqbin.functions import dna
+
+
+@pytest.fixture()
+def documents(spark, tmp_path):
+    rng = random.Random(5)
+    texts = ["", None, "a", "é" * 150, "x" * 100, "x" * 200, "x" * 201, *("".join(chr(rng.randrange(32, 1500)) for _ in range(n)) for n in (7, 333, 9000))]
+    rows = [(i if i != 3 else None, f"src{i}" if i % 2 else None, text) for i, text in enumerate([*texts, texts[-2]])]
+    rows[-1] = (8, *rows[-1][1:])  # a document that comes twice
+    spark.createDataFrame(rows, "doc_id bigint, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    return str(tmp_path), rows
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_mates_are_the_pieces_of_every_text(spark, documents):
+    path, rows = documents
+    want = []
+    for doc, label, text in rows:
+        bases = None if text is None else text.encode().hex().upper().translate(str.maketrans(fixtures.HEX_DIGITS, fixtures.HEX_BASES))
+        for tile in range(max(len(bases or "") - 1, 0) // 400 + 1):
+            piece = None if bases is None else bases[tile * 400 : tile * 400 + 400]
+            want.append((None if doc is None else doc * 1000000 + tile, label, *((None, None) if piece is None else (piece[:200], piece[200:]))))
+    mates = fixtures.document_mates(spark, path)
+    assert sorted(map(tuple, mates.collect()), key=repr) == sorted(want, key=repr)
+    assert "substring" not in plan_of(mates)  # which counts the characters of a text from its start for every piece
+
+
+def test_runs_of_other_letters(spark):
+    texts = ["ﬅACaẗc", "ac-GT", "nn", "", None, "ẚACGTxāt"]
+    got = [r.runs for r in spark.createDataFrame([(t,) for t in texts], "s string").select(dna.clean_runs("s").alias("runs")).collect()]
+    assert got == [["ACA", "C"], ["AC", "GT"], [], [], None, ["ACGT", "T"]]
