@@ -2,10 +2,17 @@
 
 import random
 
+import brute
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
+from test_kmers_overlap import READ_SCHEMA, random_reads, read_table
 
 from seqbin import fixtures
 from seqbin.functions import dna
+from seqbin.operators.kmers import first_places, kmer_keys, read_kmer_lists, read_kmers
+from seqbin.operators.vectors import profile_vectors
+from seqbin.plans import registry
 
 
 @pytest.fixture()
@@ -39,3 +46,61 @@ def test_runs_of_other_letters(spark):
     texts = ["ﬅACaẗc", "ac-GT", "nn", "", None, "ẚACGTxāt"]
     got = [r.runs for r in spark.createDataFrame([(t,) for t in texts], "s string").select(dna.clean_runs("s").alias("runs")).collect()]
     assert got == [["ACA", "C"], ["AC", "GT"], [], [], None, ["ACGT", "T"]]
+
+
+@pytest.mark.parametrize("k", [1, 5, 12])
+def test_keys_are_those_of_the_texts(spark, k):
+    reads = random_reads(3)
+    rows = [*reads.items(), (1, reads[1]), (None, reads[2])]
+    table = spark.createDataFrame(rows, READ_SCHEMA)
+    words = F.flatten(F.transform(F.flatten("mates"), lambda run: dna.kmers_of(run, k)))
+    for distinct in (False, True):
+        text = table.select("read_id", F.explode(F.array_distinct(words) if distinct else words).alias("kmer"))
+        want = sorted(map(tuple, text.select("read_id", dna.kmer_key("kmer").alias("key")).collect()), key=repr)
+        assert sorted(map(tuple, kmer_keys(table, k, distinct).collect()), key=repr) == want
+    with pytest.raises(ValueError):
+        kmer_keys(table, 32)
+
+
+def test_first_of_equal_rows():
+    rng = np.random.default_rng(1)
+    a, b = rng.integers(-3, 3, 2000), rng.integers(0, 60, 2000)
+    seen, want = set(), []
+    for i, row in enumerate(zip(a.tolist(), b.tolist())):
+        if row not in seen:
+            want.append(i)
+        seen.add(row)
+    assert first_places(a, b).tolist() == want
+    assert first_places(a[:0], b[:0]).tolist() == []
+
+
+def test_lists_hold_the_rows_of_a_read(spark):
+    reads = random_reads(4)
+    plain = read_table(spark, reads).unionByName(read_table(spark, {1: reads[1], 2: reads[5], 900: [["ACG"]]}))
+    split = plain.withColumn("parts", F.when(F.col("read_id") % 2 == 0, 2).otherwise(1))
+    for table in (plain, split):
+        want = {}
+        for row in read_kmers(table, 6).collect():
+            want.setdefault(row.read_id, []).append(row.kmer)
+        got = read_kmer_lists(table, 6).collect()
+        assert len(got) == len(want)
+        assert {r.read_id: r.kmers for r in got} == {i: sorted(kmers) for i, kmers in want.items()}
+    one = read_kmer_lists(read_table(spark, {7: reads[0]}), 6).collect()
+    assert one[0].kmers == sorted(brute.kmer_set(reads[0], 6))
+
+
+def test_no_text_kmer_is_shuffled_or_converted(spark, documents):
+    path, _ = documents
+    assert "Generate" not in plan_of(registry.QUERIES["read_kmers"](spark, path))
+    for name in ("kmers", "kmer_key"):
+        plan = plan_of(registry.QUERIES[name](spark, path))
+        assert "conv(" not in plan and "Generate" not in plan
+
+
+def test_shares_are_summed_once_per_key(spark):
+    rows = [("a", "ACGTA"), ("a", "AAAAN"), ("b", "AC"), ("b", None), (None, "TTTTT")]
+    vectors = profile_vectors(spark.createDataFrame(rows, "key string, run string"), 4)
+    got = {r.key: r.features for r in vectors.collect()}
+    assert set(got) == {"a", None}
+    assert sorted(x for x in got["a"] if x) == [1 / 3, 1 / 3, 2 / 3] and got[None][0] == 1.0
+    assert "aggregate(counts" not in plan_of(vectors)
