@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from seqbin.operators import linked
 from seqbin.operators.kmers import kmer_index, kmer_tokens, read_kmers
 from seqbin.operators.linked import linked_index, linked_pairs
-from seqbin.operators.overlap import index_pairs, overlap_of_reads
+from seqbin.operators.overlap import index_pairs, overlap_edges, overlap_of_reads
 from test_kmers_overlap import READ_SCHEMA, as_set, random_reads, read_table
 
 
@@ -56,6 +56,9 @@ def test_repeated_and_missing_ids_and_split_reads(spark):
     want = index_pairs(index).groupBy("src", "dst").agg(F.count("*").alias("weight")).filter(F.col("weight") >= m)
     assert as_set(linked_pairs(linked_index(table, k), m, repeated=True)) == as_set(want)
     assert as_set(overlap_of_reads(table, k, m)) == as_set(want.filter("src <> dst"))
+    for hot_limit in (4, 4096):  # as the join has them, ignored hot k-mers included
+        known = table.filter("read_id is not null")
+        assert as_set(overlap_of_reads(table, k, m, hot_limit)) == as_set(overlap_edges(kmer_tokens(known, k), m, hot_limit=hot_limit))
 
     # a read in several rows is one set of k-mers
     parts = [(i, [mate], 2) for i, mates in reads.items() for mate in mates]
