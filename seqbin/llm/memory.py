@@ -1,16 +1,5 @@
-"""Memory of the Python workers, which stay for the tasks and stages that follow."""
+"""Memory of the Python workers; see :mod:`seqbin.memory`."""
 
-from __future__ import annotations
+from seqbin.memory import give_back
 
-import ctypes
-
-import pyarrow as pa
-
-
-def give_back() -> None:
-    """Return freed memory of Arrow and of the C library to the system."""
-    pa.default_memory_pool().release_unused()
-    # only glibc has it; other C libraries give freed memory back by themselves or not at all
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim is not None:
-        trim(0)
+__all__ = ["give_back"]
